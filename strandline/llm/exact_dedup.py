@@ -62,7 +62,7 @@ def stream_groups(spark: SparkSession, path: str, digest=sha256, files_per_batch
     """
     folder = f"{shared_dir(spark)}/exact-{uuid.uuid4().hex}"
     session = spark.newSession()
-    for k, v in STATE_CONF.items():
+    for k, v in (STATE_CONF | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}).items():
         session.conf.set(k, v)
     schema = session.read.parquet(path).select("doc_id", "text").schema
     source = session.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch)
