@@ -1,5 +1,550 @@
-"""Queries of the window analytics over the tables of a folder."""
+"""Queries of the window analytics over the tables of a folder, each with the SQL that states it."""
 
-FLAGSHIP = ""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandline.functions import arrays as A
+from strandline.operators import checks, codebook, experts, images, oracle, panel, proxy, quality, registry, sampling
+from strandline.plans import adapters as D
+
+FLAGSHIP = "oracle_audit"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+H, P = D.CONFIG.history_len, D.CONFIG.pred_len
+WINDOW = "physical_window_id"
+
+# ---- pieces of SQL ----
+
+PARTS = {
+    "panel": """SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'hour' ELSE 'min' END AS subset, l_suppkey AS item_id,
+  date_trunc('week', l_shipdate) AS date_time, [0, 2, 6, 8, 18, 20, 24, 26][l_suppkey % 8 + 1] AS cluster,
+  sum(l_quantity) AS ind_1, CAST(count(*) AS DOUBLE) AS ind_2, CAST(max(l_linenumber) AS DOUBLE) AS ind_3
+  FROM lineitem GROUP BY 1, 2, 3, 4""",
+    "n": f"""SELECT subset, item_id, any_value(cluster) AS cluster, CAST(count(*) AS INT) AS n,
+  CAST(count(*) FILTER (date_time < TIMESTAMP '{D.CUTOFF}') AS INT) AS pre FROM panel GROUP BY subset, item_id""",
+    "b": """SELECT subset, item_id, cluster, n, v.split, v.s, v.e FROM (SELECT *, pre - CAST(floor(pre * 0.2) AS INT) AS cut FROM n) q,
+  LATERAL (SELECT unnest([{'split': 'train', 's': 0, 'e': cut}, {'split': 'valid', 's': cut, 'e': pre}, {'split': 'test', 's': pre, 'e': n}]) AS v)""",
+    "l": "SELECT subset, item_id, date_time, cluster, channel, value FROM panel UNPIVOT (value FOR channel IN (ind_1, ind_2, ind_3))",
+    "s": "SELECT subset, item_id, channel, list(value ORDER BY date_time) AS vals FROM l GROUP BY ALL",
+    "book": """SELECT c AS official_cluster_code, concat_ws('_', CASE WHEN c // 9 = 0 THEN 'highT' ELSE 'lowT' END,
+  CASE WHEN c // 3 % 3 = 0 THEN 'highS' ELSE 'lowS' END, CASE WHEN c % 3 = 0 THEN 'highF' ELSE 'lowF' END) AS official_tsf_cell
+  FROM (SELECT unnest([0, 2, 6, 8, 18, 20, 24, 26]) AS c)""",
+    "w": f"""SELECT b.subset, b.item_id, b.split, b.s, b.e, b.n, s.channel, CAST(t AS INT) AS t, book.official_tsf_cell, b.cluster,
+  CASE b.subset WHEN 'hour' THEN 4 ELSE 13 END AS period, s.vals[t - {H} + 1 : t] AS history, s.vals[t + 1 : t + {P}] AS target,
+  substring(sha1('{{"channel":"' || s.channel || '","data_version":"1","dataset":"panel","history_len":{H},"item_id":' || b.item_id ||
+  ',"pred_len":{P},"revision":"1","split":"' || b.split || '","subset":"' || b.subset || '","target_start_idx":' || t || '}}'), 1, 16) AS physical_window_id
+  FROM b, unnest(range(CASE WHEN b.split = 'train' THEN b.s + {H} ELSE greatest(b.s, {H}) END, b.e - {P} + 1, {P})) u(t)
+  JOIN s ON s.subset = b.subset AND s.item_id = b.item_id JOIN book ON book.official_cluster_code = b.cluster""",
+    "p": f"""SELECT w.*, x.expert_id, x.o, x.yhat FROM w, LATERAL (SELECT unnest([
+  {{'expert_id': 'last_value', 'o': 0, 'yhat': [history[{H}] for i in range({P})]}},
+  {{'expert_id': 'seasonal_naive', 'o': 1, 'yhat': [history[{H} - period + 1 + i % period] for i in range({P})]}},
+  {{'expert_id': 'recent_mean', 'o': 2, 'yhat': [list_sum(history[{H - 5}:{H}]) / 6 for i in range({P})]}},
+  {{'expert_id': 'linear_trend', 'o': 3, 'yhat': [list_sum(history) / {H} + list_sum([history[k + 1] * (k - 11.5e0) for k in range({H})]) / 1150e0 * ({H} + i - 11.5e0) for i in range({P})]}}]) AS x)""",
+    "er": f"""SELECT subset, item_id, channel, split, official_tsf_cell, physical_window_id, expert_id, o, yhat, target,
+  list_sum([(target[i + 1] - yhat[i + 1]) * (target[i + 1] - yhat[i + 1]) for i in range({P})]) / {P} AS mse,
+  list_sum([abs(target[i + 1] - yhat[i + 1]) for i in range({P})]) / {P} AS mae FROM p""",
+    "rk": """SELECT *, row_number() OVER (PARTITION BY physical_window_id ORDER BY round(mse, 9), o) AS rank_in_window,
+  exp(-mse / 100 - max(-mse / 100) OVER (PARTITION BY physical_window_id)) AS e FROM er""",
+    "q": f"""SELECT subset, item_id, channel, v, list_sum(v) / len(v) AS m, len(v) AS n, CASE subset WHEN 'hour' THEN 4 ELSE 13 END AS p
+  FROM (SELECT subset, item_id, channel, vals[1:{H * 2}] AS v FROM s)""",
+    "ql": """SELECT subset, item_id, channel, n AS eff_length,
+  (list_sum([(v[i + 1] - m) * (i - (n - 1) / 2e0) for i in range(n)]) ^ 2) / (n * (n * n - 1e0) / 12) AS ssr,
+  list_sum([(x - m) ^ 2 for x in v]) AS sst, v[1 : n - p] AS a, v[p + 1 : n] AS z FROM q""",
+    "qs": """SELECT subset, item_id, channel, eff_length,
+  round(least(greatest(1 - (sst - ssr) / (sst + 1e-12), 0), 1), 6) AS trend_strength,
+  round(coalesce(abs((list_sum([a[k + 1] * z[k + 1] for k in range(len(a))]) - list_sum(a) * list_sum(z) / len(a))
+    / sqrt((list_sum([x * x for x in a]) - list_sum(a) ^ 2 / len(a)) * (list_sum([x * x for x in z]) - list_sum(z) ^ 2 / len(a)))), 0), 6) AS seasonality_strength FROM ql""",
+    "i": "SELECT subset, item_id, avg(trend_strength) AS trend_strength, avg(seasonality_strength) AS seasonality_strength, avg(eff_length) / 100 AS forecastability FROM qs GROUP BY ALL",
+    "wc": f"""SELECT subset, item_id, split, e - s AS split_length, st.seq_len, st.pred_len, greatest(e - s - st.seq_len - st.pred_len + 1, 0) AS item_windows
+  FROM b, LATERAL (SELECT unnest([{{'seq_len': 12, 'pred_len': 8}}, {{'seq_len': 24, 'pred_len': 8}}, {{'seq_len': 48, 'pred_len': 8}}]) AS st)""",
+}
+NEEDS = {
+    "n": ["panel"], "b": ["n"], "l": ["panel"], "s": ["l"], "w": ["b", "s", "book"], "p": ["w"], "er": ["p"], "rk": ["er"], "q": ["s"], "ql": ["q"], "qs": ["ql"], "i": ["qs"], "wc": ["b"],
+}
+SETTINGS = ((12, 8), (24, 8), (48, 8))
+
+
+def _with(names: list[str], more: str, body: str) -> str:
+    order: list[str] = []
+
+    def add(n: str) -> None:
+        for x in NEEDS.get(n, []):
+            add(x)
+        if n not in order:
+            order.append(n)
+
+    for n in names:
+        add(n)
+    parts = [f"{n} AS ({PARTS[n]})" for n in order] + ([more] if more else [])
+    return f"WITH {', '.join(parts)} {body}"
+
+
+def query(sql: str | None = None, needs: str = "", more: str = ""):
+    """Registers a query under its function's name, with its SQL over the parts it needs."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = _with(needs.split(), more, sql) if needs or more else sql
+        return f
+
+    return add
+
+
+def r6(c: str):
+    return F.round(F.col(c), 6).alias(c)
+
+
+def _errors(spark, d) -> DataFrame:
+    """Ranked errors of all experts; ranks and soft weights at temperature 100."""
+    return experts.error_table(D.windows(spark, d), temperature=100.0)
+
+
+# ---- sources, panels, splits ----
+
+
+@query("SELECT subset, item_id, count(*) AS length, min(date_time) AS start_time, max(date_time) AS end_time FROM panel GROUP BY ALL", "panel")
+def item_lengths(spark, d):
+    return panel.lengths(D.panel(spark, d))
+
+
+@query("SELECT subset, item_id, date_time, ind_1 FROM panel WHERE item_id IN (SELECT DISTINCT item_id FROM panel p2 WHERE p2.subset = panel.subset ORDER BY 1 LIMIT 3)", "panel")
+def first_items(spark, d):
+    return panel.first_items(D.panel(spark, d), 3).select("subset", "item_id", "date_time", "ind_1")
+
+
+@query("SELECT subset, item_id, date_time, channel, value FROM l", "l")
+def long_panel(spark, d):
+    return panel.to_long(D.panel(spark, d), D.CHANNELS).select("subset", "item_id", "date_time", "channel", "value")
+
+
+@query("SELECT subset, item_id, date_time, CAST(row_number() OVER (PARTITION BY subset, item_id ORDER BY date_time) - 1 AS INT) AS idx FROM panel", "panel")
+def positional_index(spark, d):
+    return panel.indexed(D.panel(spark, d)).select("subset", "item_id", "date_time", "idx")
+
+
+@query("SELECT subset, item_id, channel, vals AS values, CAST(len(vals) AS INT) AS length FROM s", "s")
+def series_arrays(spark, d):
+    return D.series(spark, d)
+
+
+@query("SELECT subset, item_id, split, s AS split_start_idx, e AS split_end_idx, n AS item_length FROM b", "b")
+def split_bounds(spark, d):
+    return panel.split_bounds(D.panel(spark, d), D.CUTOFF)
+
+
+@query("SELECT subset, item_id, split, split_length, seq_len, pred_len, item_windows, item_windows * 3 AS channel_windows FROM wc", "wc")
+def window_counts(spark, d):
+    return panel.window_counts(D.panel(spark, d), D.CUTOFF, len(D.CHANNELS), SETTINGS)
+
+
+@query("SELECT subset, item_id, channel, [vals[CAST(floor(i * (len(vals) - 1) / 31e0) AS INT) + 1] for i in range(32)] AS values FROM s", "s")
+def downsampled_series(spark, d):
+    return D.series(spark, d).select("subset", "item_id", "channel", panel.downsample(F.col("values"), 32).alias("values"))
+
+
+@query("SELECT subset, item_id, date_time FROM (SELECT *, row_number() OVER (ORDER BY subset, item_id, date_time) - 1 AS i FROM panel) WHERE i % 7 = 0 AND i < 700", "panel")
+def strided_rows(spark, d):
+    return panel.strided(D.panel(spark, d), ["subset", "item_id", "date_time"], 7, 100).select("subset", "item_id", "date_time")
+
+
+@query("SELECT subset, item_id, date_time, round(avg(z), 6) AS value FROM (SELECT *, (value - avg(value) OVER g) / (stddev_pop(value) OVER g + 1e-8) AS z FROM l WINDOW g AS (PARTITION BY subset, item_id, channel)) GROUP BY ALL", "l")
+def representative_series(spark, d):
+    return panel.representative(D.panel(spark, d), D.CHANNELS).select("subset", "item_id", "date_time", r6("value"))
+
+
+# ---- registries ----
+
+
+@query(
+    f"""SELECT physical_window_id, subset, item_id, channel, split, t AS target_start_idx, t - {H} AS history_start_idx, t + {P} AS target_end_idx,
+  period, official_tsf_cell, cluster AS official_cluster, s AS split_start_idx, e AS split_end_idx, n AS item_length FROM w""",
+    "w",
+)
+def window_registry(spark, d):
+    return D.registry(spark, d).select(WINDOW, "subset", "item_id", "channel", "split", "target_start_idx", "history_start_idx", "target_end_idx", "period", "official_tsf_cell", "official_cluster", "split_start_idx", "split_end_idx", "item_length")
+
+
+@query(
+    f"""SELECT w.physical_window_id, strftime(x.times[t + 1], '%Y-%m-%dT%H:%M:%S') AS target_start_time, strftime(x.times[t + {P}], '%Y-%m-%dT%H:%M:%S') AS target_end_time
+  FROM w JOIN (SELECT subset, item_id, list(date_time ORDER BY date_time) AS times FROM panel GROUP BY ALL) x USING (subset, item_id)""",
+    "w",
+)
+def window_times(spark, d):
+    return D.registry(spark, d).select(WINDOW, "target_start_time", "target_end_time")
+
+
+@query("SELECT split, subset, official_tsf_cell, count(*) AS rows, count(DISTINCT physical_window_id) AS windows, count(DISTINCT (subset, item_id)) AS items FROM w GROUP BY ALL", "w")
+def registry_counts(spark, d):
+    return registry.count_table(D.registry(spark, d), ["split", "subset", "official_tsf_cell"])
+
+
+@query(
+    """SELECT count(*) AS rows, count(DISTINCT physical_window_id) AS windows, count(DISTINCT (subset, item_id)) AS items, count(DISTINCT channel) AS channels,
+  (SELECT min(c) FROM (SELECT count(*) AS c FROM w GROUP BY split, subset)) AS min_split_subset,
+  (SELECT min(c) FROM (SELECT count(*) AS c FROM w GROUP BY split, subset, official_tsf_cell)) AS min_split_subset_cell FROM w""",
+    "w",
+)
+def registry_audit(spark, d):
+    return registry.registry_audit(D.registry(spark, d))
+
+
+@query("SELECT physical_window_id, history, target FROM w", "w")
+def window_values(spark, d):
+    return D.windows(spark, d).select(WINDOW, "history", "target")
+
+
+@query("SELECT physical_window_id, CAST(NULL AS BIGINT) AS n FROM w GROUP BY physical_window_id HAVING count(*) > 1", "w")
+def duplicate_windows(spark, d):
+    return checks.duplicate_keys(D.registry(spark, d), [WINDOW])
+
+
+# ---- experts and errors ----
+
+
+@query("SELECT physical_window_id, expert_id, [round(y, 6) for y in yhat] AS yhat FROM p", "p")
+def expert_predictions(spark, d):
+    out = experts.predictions(D.windows(spark, d, target=False))
+    return out.select(WINDOW, "expert_id", F.transform("yhat", lambda x: F.round(x, 6)).alias("yhat"))
+
+
+@query("SELECT physical_window_id, expert_id, round(mse, 6) AS mse, round(mae, 6) AS mae FROM er", "er")
+def expert_errors(spark, d):
+    w = D.windows(spark, d)
+    return experts.errors(experts.predictions(w), w).select(WINDOW, "expert_id", r6("mse"), r6("mae"))
+
+
+@query("SELECT physical_window_id, expert_id, CAST(rank_in_window AS INT) AS rank_in_window, rank_in_window = 1 AS is_oracle_top1, round(e / greatest(sum(e) OVER (PARTITION BY physical_window_id), 1e-8), 6) AS soft_oracle_weight FROM rk", "rk")
+def ranked_errors(spark, d):
+    e = experts.error_table(D.windows(spark, d), temperature=100.0).withColumn("mse", F.round("mse", 9))
+    return experts.ranked(e, 100.0).select(WINDOW, "expert_id", "rank_in_window", "is_oracle_top1", r6("soft_oracle_weight"))
+
+
+@query("SELECT subset, item_id, channel, round(avg(x), 6) AS scaler_mean, round(stddev_pop(x) + 1e-8, 6) AS scaler_std FROM (SELECT s.subset, s.item_id, s.channel, unnest(s.vals[1 : b.e]) AS x FROM s JOIN b ON b.subset = s.subset AND b.item_id = s.item_id AND b.split = 'train') GROUP BY ALL", "s b")
+def train_scalers(spark, d):
+    train = panel.split_lengths(D.panel(spark, d), D.CUTOFF).filter("split = 'train'").select("subset", "item_id", F.col("split_length").alias("train_length"))
+    return experts.train_scalers(D.series(spark, d), train).select("subset", "item_id", "channel", r6("scaler_mean"), r6("scaler_std"))
+
+
+@query("SELECT round(avg(x), 6) AS scaler_mean, round(stddev_pop(x) + 1e-8, 6) AS scaler_std FROM (SELECT unnest(history || target) AS x FROM w WHERE split = 'train')", "w")
+def global_scaler(spark, d):
+    return experts.global_scaler(D.windows(spark, d)).select(r6("scaler_mean"), r6("scaler_std"))
+
+
+@query()
+def normalized_errors(spark, d):
+    w = D.windows(spark, d)
+    train = panel.split_lengths(D.panel(spark, d), D.CUTOFF).filter("split = 'train'").select("subset", "item_id", F.col("split_length").alias("train_length"))
+    out = experts.normalized_errors(experts.predictions(w), w, experts.train_scalers(D.series(spark, d), train))
+    return out.select(WINDOW, "expert_id", r6("mse"), r6("mae"), "rank_in_window")
+
+
+# ---- summaries ----
+
+GROUPS = """g AS (SELECT er.*, x.k AS group_kind, x.v AS group_value FROM er, LATERAL (SELECT unnest([{'k': 'overall', 'v': 'all'}, {'k': 'split', 'v': split},
+  {'k': 'subset', 'v': subset}, {'k': 'official_tsf_cell', 'v': official_tsf_cell}]) AS x)),
+pw AS (SELECT group_kind, group_value, physical_window_id, min(mse) AS o, avg(mse) AS u, arg_min(mae, {'m': mse, 'e': expert_id}) AS oa FROM g GROUP BY ALL),
+fx AS (SELECT group_kind, group_value, min({'m': m, 'a': a, 'e': expert_id}) AS f FROM (SELECT group_kind, group_value, expert_id, avg(mse) AS m, avg(mae) AS a FROM g GROUP BY ALL) GROUP BY ALL),
+un AS (SELECT physical_window_id, list_sum([d * d for d in dd]) / len(dd) AS um, list_sum([abs(d) for d in dd]) / len(dd) AS ua FROM (
+  SELECT physical_window_id, list(a - t ORDER BY h) AS dd FROM (SELECT physical_window_id, h, avg(y) AS a, any_value(t) AS t FROM (
+    SELECT physical_window_id, unnest(yhat) AS y, unnest(target) AS t, unnest(range(len(yhat))) AS h FROM er) GROUP BY ALL) GROUP BY ALL))"""
+
+
+@query(
+    """SELECT group_kind, group_value, count(*) AS windows, round(avg(o), 6) AS oracle_mse, round(avg(oa), 6) AS oracle_mae, round(avg(u), 6) AS uniform_proxy_mse,
+  round(avg(um), 6) AS true_uniform_mse, round(avg(ua), 6) AS true_uniform_mae, any_value(f.e) AS best_fixed_expert, round(any_value(f.m), 6) AS best_fixed_mse,
+  round(any_value(f.m) - avg(o), 6) AS oracle_gap FROM pw JOIN fx USING (group_kind, group_value) JOIN un USING (physical_window_id) GROUP BY ALL""",
+    "er",
+    GROUPS,
+)
+def oracle_audit(spark, d):
+    """Flagship: panel, windows, experts, errors, true ensemble and the audit by group."""
+    w = D.windows(spark, d)
+    predicted = experts.predictions(w)
+    out = oracle.oracle_audit(_errors(spark, d), oracle.uniform_ensemble(predicted, w), temperature=100.0)
+    return out.select("group_kind", "group_value", "windows", *[r6(c) for c in ("oracle_mse", "oracle_mae", "uniform_proxy_mse", "true_uniform_mse", "true_uniform_mae", "best_fixed_mse", "oracle_gap")], "best_fixed_expert")
+
+
+@query("SELECT count(*) AS windows, any_value(f.e) AS best_fixed_expert, round(any_value(f.m), 6) AS best_fixed_mse, round(avg(o), 6) AS oracle_mse, round(avg(u), 6) AS uniform_proxy_mse, round(any_value(f.m) - avg(o), 6) AS oracle_gap FROM pw JOIN fx USING (group_kind, group_value) WHERE group_kind = 'overall'", "er", GROUPS)
+def oracle_summary(spark, d):
+    out = oracle.oracle_summary(_errors(spark, d))
+    return out.select("windows", "best_fixed_expert", *[r6(c) for c in ("best_fixed_mse", "oracle_mse", "uniform_proxy_mse", "oracle_gap")])
+
+
+@query("SELECT physical_window_id, round(um, 6) AS uniform_mse, round(ua, 6) AS uniform_mae FROM un", "er", GROUPS)
+def uniform_ensemble(spark, d):
+    w = D.windows(spark, d)
+    return oracle.uniform_ensemble(experts.predictions(w), w).select(WINDOW, r6("uniform_mse"), r6("uniform_mae"))
+
+
+@query("SELECT round(avg(h), 6) AS soft_oracle_entropy FROM (SELECT physical_window_id, sum(-(e / s) * ln(e / s + 1e-8)) AS h FROM (SELECT *, greatest(sum(e) OVER (PARTITION BY physical_window_id), 1e-8) AS s FROM rk) GROUP BY ALL)", "rk")
+def soft_oracle_entropy(spark, d):
+    return oracle.per_window(_errors(spark, d), temperature=100.0).agg(F.round(F.avg("entropy"), 6).alias("soft_oracle_entropy"))
+
+
+@query("SELECT expert_id, round(avg(mse), 6) AS mean_mse, round(avg(mae), 6) AS mean_mae, round(avg(CAST(rank_in_window = 1 AS DOUBLE)), 6) AS top1_rate, count(DISTINCT physical_window_id) AS windows FROM rk GROUP BY ALL", "rk")
+def expert_metrics(spark, d):
+    e = _errors(spark, d).withColumn("mse", F.round("mse", 9))
+    return oracle.expert_metrics(e).select("expert_id", r6("mean_mse"), r6("mean_mae"), r6("top1_rate"), "windows")
+
+
+@query("SELECT official_tsf_cell, expert_id, round(m, 6) AS mean_mse, CAST(row_number() OVER (PARTITION BY official_tsf_cell ORDER BY m, expert_id) AS INT) AS rank_in_cell FROM (SELECT official_tsf_cell, expert_id, avg(mse) AS m FROM er GROUP BY ALL)", "er")
+def cell_model_matrix(spark, d):
+    return oracle.cell_model_matrix(_errors(spark, d)).select("official_tsf_cell", "expert_id", r6("mean_mse"), "rank_in_cell")
+
+
+@query("SELECT physical_window_id, expert_id, round(mse, 6) AS mse FROM er WHERE expert_id IN ('last_value', 'seasonal_naive') AND NOT (expert_id = 'last_value' AND split = 'valid') AND physical_window_id IN (SELECT physical_window_id FROM er WHERE expert_id = 'last_value' AND split != 'valid')", "er")
+def common_windows(spark, d):
+    e = _errors(spark, d).filter("NOT (expert_id = 'last_value' AND split = 'valid')")
+    return oracle.common_windows(e, ["last_value", "seasonal_naive"]).select(WINDOW, "expert_id", r6("mse"))
+
+
+@query()
+def expert_comparison(spark, d):
+    e = _errors(spark, d)
+    names = ["last_value", "seasonal_naive", "recent_mean"]
+    out = oracle.comparison([e.filter(F.col("expert_id") == n) for n in names], names)
+    return out.select("group_kind", "group_value", "windows", "best_fixed_expert", r6("best_fixed_mse"), r6("oracle_mse"))
+
+
+@query("SELECT expert_id, round(avg(m), 6) AS macro_mse, count(*) AS units FROM (SELECT expert_id, subset, item_id, avg(mse) AS m FROM er GROUP BY ALL) GROUP BY ALL", "er")
+def item_macro_mean(spark, d):
+    return oracle.macro_mean(_errors(spark, d), ["subset", "item_id"]).select("expert_id", r6("macro_mse"), "units")
+
+
+@query("SELECT split, round(sum(m * n) / sum(n), 6) AS value, CAST(sum(n) AS BIGINT) AS samples FROM (SELECT split, item_id, channel, avg(mse) AS m, count(*) AS n FROM er GROUP BY ALL) GROUP BY split", "er")
+def weighted_metric_mean(spark, d):
+    batches = _errors(spark, d).groupBy("split", "item_id", "channel").agg(F.avg("mse").alias("m"), F.count("*").alias("n"))
+    return oracle.weighted_mean(batches, F.col("m"), F.col("n"), ["split"]).select("split", r6("value"), "samples")
+
+
+@query("SELECT expert_id, round(avg(CASE WHEN k > 1 THEN mse END), 6) AS drop_top_mse, round(avg(least(mse, cap)), 6) AS winsorized_mse, round(avg(CASE WHEN sqrt(mse) <= 1 THEN mse / 2 ELSE sqrt(mse) - 0.5e0 END), 6) AS huber FROM (SELECT *, row_number() OVER (PARTITION BY expert_id ORDER BY mse DESC) AS k, quantile_cont(mse, 0.99) OVER (PARTITION BY expert_id) AS cap FROM er) GROUP BY ALL", "er")
+def robust_metrics(spark, d):
+    return oracle.robust_metrics(_errors(spark, d)).select("expert_id", r6("drop_top_mse"), r6("winsorized_mse"), r6("huber"))
+
+
+@query()
+def worst_windows(spark, d):
+    return oracle.worst_windows(_errors(spark, d), 100).select("expert_id", WINDOW, r6("mse"), "worst_rank", r6("share"))
+
+
+@query("SELECT 'all' AS cache, count(*) AS rows, count(*) AS keys, count(DISTINCT physical_window_id) AS windows, 'last_value,linear_trend,recent_mean,seasonal_naive' AS experts, (SELECT count(DISTINCT physical_window_id) FROM er WHERE split = 'test') AS common_windows FROM er UNION ALL SELECT 'test', count(*), count(*), count(DISTINCT physical_window_id), 'last_value', count(DISTINCT physical_window_id) FROM er WHERE split = 'test' AND expert_id = 'last_value'", "er")
+def cache_overlap(spark, d):
+    e = _errors(spark, d)
+    return oracle.cache_overlap({"all": e, "test": e.filter("split = 'test' AND expert_id = 'last_value'")})
+
+
+@query("SELECT expert_id, kind, round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90, 1.0e0 AS finite_rate FROM (SELECT expert_id, unnest(['prediction', 'target', 'abs_error']) AS kind, unnest([y, t, abs(y - t)]) AS x FROM (SELECT expert_id, unnest(yhat) AS y, unnest(target) AS t FROM er)) GROUP BY ALL", "er")
+def prediction_scale(spark, d):
+    w = D.windows(spark, d)
+    out = oracle.prediction_scale(experts.predictions(w), w)
+    return out.select("expert_id", "kind", *[r6(c) for c in ("min", "max", "mean", "std", "p50", "p90", "finite_rate")])
+
+
+# ---- quality, cells, codebook ----
+
+
+def _channel_quality(spark, d) -> DataFrame:
+    s = D.series(spark, d).withColumn("values", F.slice("values", 1, 2 * H))
+    return quality.quality(s, D.PERIODS.column(), 2048)
+
+
+def _items(spark, d) -> DataFrame:
+    """Items with measures rounded as in SQL; a length share stands for forecastability, which SQL does not express."""
+    q = _channel_quality(spark, d).withColumns({"trend_strength": F.round("trend_strength", 6), "seasonality_strength": F.round("seasonality_strength", 6), "forecastability": F.col("eff_length") / 100})
+    return quality.item_quality(q)
+
+
+@query("SELECT subset, item_id, channel, CAST(eff_length AS INT) AS eff_length, trend_strength, seasonality_strength FROM qs", "qs")
+def channel_quality(spark, d):
+    return _channel_quality(spark, d).select("subset", "item_id", "channel", "eff_length", r6("trend_strength"), r6("seasonality_strength"))
+
+
+@query()
+def spectral_forecastability(spark, d):
+    return _channel_quality(spark, d).select("subset", "item_id", "channel", r6("forecastability"), "missing_ratio")
+
+
+@query("SELECT subset, item_id, round(trend_strength, 5) AS trend_strength, round(seasonality_strength, 5) AS seasonality_strength FROM i", "i")
+def item_quality(spark, d):
+    return _items(spark, d).select("subset", "item_id", F.round("trend_strength", 5).alias("trend_strength"), F.round("seasonality_strength", 5).alias("seasonality_strength"))
+
+
+MEDIAN = "concat_ws('_', CASE WHEN trend_strength >= (SELECT median(trend_strength) FROM i) THEN 'highT' ELSE 'lowT' END, CASE WHEN seasonality_strength >= (SELECT median(seasonality_strength) FROM i) THEN 'highS' ELSE 'lowS' END, CASE WHEN forecastability >= (SELECT median(forecastability) FROM i) THEN 'highF' ELSE 'lowF' END)"
+
+
+@query(f"SELECT subset, item_id, {MEDIAN} AS tsf_cell FROM i", "i")
+def median_cells(spark, d):
+    return quality.median_cells(_items(spark, d)).select("subset", "item_id", "tsf_cell")
+
+
+@query("SELECT subset, item_id, concat_ws('_', CASE WHEN trend_strength > 0.05 THEN 'highT' ELSE 'lowT' END, CASE WHEN seasonality_strength > 0.05 THEN 'highS' ELSE 'lowS' END, CASE WHEN forecastability > 0.05 THEN 'highF' ELSE 'lowF' END) AS tsf_cell FROM i", "i")
+def threshold_cells(spark, d):
+    return quality.threshold_cells(_items(spark, d), 0.05).select("subset", "item_id", "tsf_cell")
+
+
+@query(
+    f"""SELECT g AS subset, tsf_cell, seq_len, pred_len, CAST(sum(CASE WHEN split = 'train' THEN item_windows ELSE 0 END) AS BIGINT) AS train_windows,
+  CAST(sum(CASE WHEN split = 'valid' THEN item_windows ELSE 0 END) AS BIGINT) AS valid_windows, CAST(sum(CASE WHEN split = 'test' THEN item_windows ELSE 0 END) AS BIGINT) AS test_windows,
+  count(DISTINCT (c.subset, c.item_id)) AS unit_count, count(DISTINCT (c.subset, c.item_id)) >= 1 AS supports_1shot, count(DISTINCT (c.subset, c.item_id)) >= 5 AS supports_5shot,
+  count(DISTINCT (c.subset, c.item_id)) >= 10 AS supports_10shot, count(DISTINCT (c.subset, c.item_id)) >= 50 AS supports_50shot
+  FROM (SELECT subset, item_id, {MEDIAN} AS tsf_cell, unnest([subset, 'combined']) AS g FROM i) c JOIN wc USING (subset, item_id) GROUP BY ALL""",
+    "i wc",
+)
+def cell_distribution(spark, d):
+    counts = panel.window_counts(D.panel(spark, d), D.CUTOFF, len(D.CHANNELS), SETTINGS)
+    return quality.cell_distribution(quality.median_cells(_items(spark, d)), counts)
+
+
+@query("SELECT 'ind_1' AS metric, round(min(ind_1), 6) AS min, round(quantile_cont(ind_1, 0.25), 6) AS p25, round(median(ind_1), 6) AS p50, round(quantile_cont(ind_1, 0.75), 6) AS p75, round(max(ind_1), 6) AS max, round(avg(ind_1), 6) AS mean, count(*) AS n, subset FROM panel GROUP BY subset", "panel")
+def quantile_summary(spark, d):
+    out = quality.quantile_summary(D.panel(spark, d), ["ind_1"], ["subset"])
+    return out.select("subset", "metric", *[r6(c) for c in ("min", "p25", "p50", "p75", "max", "mean")], "n")
+
+
+@query("SELECT round(corr(ra, rb), 6) AS spearman, count(*) AS n FROM (SELECT rank() OVER (ORDER BY ind_1) + (count(*) OVER (PARTITION BY ind_1) - 1) / 2e0 AS ra, rank() OVER (ORDER BY ind_2) + (count(*) OVER (PARTITION BY ind_2) - 1) / 2e0 AS rb FROM panel)", "panel")
+def rank_correlation(spark, d):
+    return quality.spearman(D.panel(spark, d), "ind_1", "ind_2").select(r6("spearman"), "n")
+
+
+def _compared(spark, d) -> DataFrame:
+    cells = quality.threshold_cells(_items(spark, d), 0.05).join(D.panel(spark, d).select("subset", "item_id", F.col("cluster").alias("official_cluster_code")).distinct(), ["subset", "item_id"])
+    return codebook.compare_with_codebook(cells, codebook.official_codebook(spark))
+
+
+COMPARED = """cm AS (SELECT t.subset, t.item_id, n.cluster AS official_cluster_code, book.official_tsf_cell, t.tsf_cell FROM (SELECT subset, item_id, concat_ws('_', CASE WHEN trend_strength > 0.05 THEN 'highT' ELSE 'lowT' END,
+  CASE WHEN seasonality_strength > 0.05 THEN 'highS' ELSE 'lowS' END, CASE WHEN forecastability > 0.05 THEN 'highF' ELSE 'lowF' END) AS tsf_cell FROM i) t JOIN n USING (subset, item_id) LEFT JOIN book ON book.official_cluster_code = n.cluster)"""
+
+
+@query("SELECT item_id, official_tsf_cell, tsf_cell = official_tsf_cell AS exact_match, split_part(tsf_cell, '_', 1) = split_part(official_tsf_cell, '_', 1) AS trend_match FROM cm", "i n book", COMPARED)
+def codebook_comparison(spark, d):
+    return _compared(spark, d).select("item_id", "official_tsf_cell", "exact_match", "trend_match")
+
+
+@query("SELECT official_tsf_cell, tsf_cell, count(*) AS items FROM cm GROUP BY ALL", "i n book", COMPARED)
+def confusion(spark, d):
+    return codebook.confusion(_compared(spark, d))
+
+
+@query("SELECT official_cluster_code, official_tsf_cell, count(*) AS items, round(avg(CAST(tsf_cell = official_tsf_cell AS DOUBLE)), 6) AS exact_match_rate FROM cm GROUP BY ALL", "i n book", COMPARED)
+def cluster_summary(spark, d):
+    return codebook.cluster_summary(_compared(spark, d)).select("official_cluster_code", "official_tsf_cell", "items", r6("exact_match_rate"))
+
+
+@query("SELECT official_cluster_code, tsf_cell AS stl_mode, round(c / t, 6) AS stl_ratio, c AS stl_count FROM (SELECT *, sum(c) OVER (PARTITION BY official_cluster_code) AS t, row_number() OVER (PARTITION BY official_cluster_code ORDER BY c DESC, tsf_cell) AS k FROM (SELECT official_cluster_code, tsf_cell, count(*) AS c FROM cm GROUP BY ALL)) WHERE k = 1", "i n book", COMPARED)
+def cluster_modes(spark, d):
+    return codebook.mode_with_ratio(_compared(spark, d), ["official_cluster_code"], "tsf_cell", "stl").select("official_cluster_code", "stl_mode", r6("stl_ratio"), "stl_count")
+
+
+@query("SELECT CAST(official_cluster_code AS INT) AS official_cluster_code, official_tsf_cell FROM book", "book")
+def official_codebook(spark, d):
+    return codebook.official_codebook(spark)
+
+
+def _labelled(spark, d) -> DataFrame:
+    a, b = quality.threshold_cells(_items(spark, d), 0.05), quality.median_cells(_items(spark, d))
+    both = quality.compare(a, b)
+    names = {f"{m}_{n}": f"{n}_{m}" for n in ("stl", "proxy") for m in (*quality.METRICS, "tsf_cell")}
+    code = D.panel(spark, d).select("subset", "item_id", F.col("cluster").alias("official_cluster_code")).distinct()
+    return both.withColumnsRenamed(names).join(code, ["subset", "item_id"])
+
+
+@query()
+def codebook_candidates(spark, d):
+    return codebook.candidates(_labelled(spark, d)).select("candidate_rank", "digit_1_dim", "digit_2_dim", "digit_3_dim", "trend_high_digit", "seasonality_high_digit", "forecastability_high_digit", r6("evidence_score"))
+
+
+@query()
+def cluster_semantics(spark, d):
+    return codebook.semantics(_labelled(spark, d))
+
+
+# ---- features, views, samples ----
+
+
+@query(
+    f"""SELECT physical_window_id, round(m, 6) AS mean, round(sqrt(list_sum([(x - m) ^ 2 for x in history]) / {H}), 6) AS std, list_min(history) AS min, list_max(history) AS max,
+  list_max(history) - list_min(history) AS amplitude, history[{H}] AS last_value, 0.0e0 AS missing_ratio, round(list_sum([history[k + 1] * (k - 11.5e0) for k in range({H})]) / 1150, 6) AS slope,
+  round(list_median(history), 6) AS median, round(CASE WHEN list_sum([(x - m) ^ 2 for x in history]) > 1e-8 THEN list_sum([(history[k + 1] - m) * (history[k + 2] - m) for k in range({H - 1})]) / list_sum([(x - m) ^ 2 for x in history]) ELSE 0 END, 6) AS acf_lag1
+  FROM (SELECT *, list_sum(history) / {H} AS m FROM w)""",
+    "w",
+)
+def light_proxy(spark, d):
+    out = proxy.proxy_table(D.windows(spark, d, target=False))
+    return out.select(WINDOW, *[r6(c) for c in ("mean", "std", "min", "max", "amplitude", "last_value", "missing_ratio", "slope", "median", "acf_lag1")])
+
+
+@query()
+def spectral_features(spark, d):
+    w = D.windows(spark, d, target=False)
+    s = A.spectral(A.filled(F.col("history")))
+    return w.select(WINDOW, F.round(s["entropy"], 6).alias("spectral_entropy"), F.round(s["dominance"], 6).alias("dominant_frequency_strength"))
+
+
+@query(f"SELECT physical_window_id, round(list_sum(history) / {H}, 6) AS norm_mean, CAST(CASE period WHEN 4 THEN 0 ELSE 2 END AS INT) AS padding_length, CAST(CASE period WHEN 4 THEN 6 ELSE 2 END AS INT) AS num_cycles FROM w", "w")
+def image_index(spark, d):
+    return images.image_index(D.windows(spark, d, target=False)).select(WINDOW, r6("norm_mean"), "padding_length", "num_cycles")
+
+
+@query()
+def view_images(spark, d):
+    """Views of the sample that a smoke run takes: two windows of each split, subset and cell."""
+    few = sampling.capped(D.windows(spark, d, target=False), ["split", "subset", "official_tsf_cell"], 2, 7)
+    return images.imageize(few).select(WINDOW, F.size("view").alias("values"), F.round(F.array_min("view"), 4).alias("low"), F.round(F.array_max("view"), 4).alias("high"))
+
+
+@query()
+def view_embeddings(spark, d):
+    few = sampling.capped(D.windows(spark, d, target=False), ["split", "subset", "official_tsf_cell"], 2, 7)
+    return images.embed(few).select(WINDOW, F.size("z").alias("dims"))
+
+
+def _hashed(seed: int) -> str:
+    return f"sha1('{seed}:' || physical_window_id)"
+
+
+STRATA = ["split", "subset", "official_tsf_cell"]
+
+
+@query(
+    f"""SELECT physical_window_id, split, subset, official_tsf_cell FROM (SELECT *, row_number() OVER (PARTITION BY split, subset, official_tsf_cell ORDER BY {_hashed(7)}, physical_window_id) AS r FROM w)
+  JOIN (SELECT split, subset, official_tsf_cell, q + CASE WHEN row_number() OVER (ORDER BY f DESC, c DESC, split, subset, official_tsf_cell) <= 100 - sum(q) OVER () THEN 1 ELSE 0 END AS quota FROM (
+    SELECT *, floor(x) AS q, x - floor(x) AS f FROM (SELECT split, subset, official_tsf_cell, count(*) AS c, count(*) * 100e0 / (SELECT count(*) FROM w)::DOUBLE AS x FROM w GROUP BY ALL))) USING (split, subset, official_tsf_cell) WHERE r <= quota""",
+    "w",
+)
+def proportional_sample(spark, d):
+    return sampling.proportional(D.registry(spark, d), STRATA, 100, 7).select(WINDOW, *STRATA)
+
+
+@query(f"SELECT physical_window_id FROM (SELECT *, row_number() OVER (PARTITION BY split, subset, official_tsf_cell ORDER BY {_hashed(7)}, physical_window_id) AS r FROM w) ORDER BY r, split, subset, official_tsf_cell LIMIT 100", "w")
+def round_robin_sample(spark, d):
+    return sampling.round_robin(D.registry(spark, d), STRATA, 100, 7).select(WINDOW)
+
+
+@query(f"SELECT physical_window_id FROM (SELECT *, row_number() OVER (PARTITION BY split, subset, official_tsf_cell ORDER BY {_hashed(7)}, physical_window_id) AS r FROM w) WHERE r <= 3", "w")
+def capped_sample(spark, d):
+    return sampling.capped(D.registry(spark, d), STRATA, 3, 7).select(WINDOW)
+
+
+@query()
+def equal_quota_sample(spark, d):
+    return sampling.equal_quota_fill(D.registry(spark, d), STRATA, 100, 7).select(WINDOW, *STRATA)
+
+
+@query()
+def latency_sample(spark, d):
+    return sampling.latency_sample(D.registry(spark, d), STRATA, 100, 7).select(WINDOW, *STRATA)
+
+
+@query("SELECT physical_window_id FROM w WHERE split != 'train'", "w")
+def resume_tasks(spark, d):
+    r = D.registry(spark, d)
+    return sampling.resume(r, r.filter("split = 'train'"), [WINDOW]).select(WINDOW)
+
+
+@query("SELECT subset, item_id, max(date_time) AS date_time FROM panel GROUP BY ALL", "panel")
+def keep_last(spark, d):
+    return sampling.keep_last(D.panel(spark, d), ["subset", "item_id"], "date_time").select("subset", "item_id", "date_time")
