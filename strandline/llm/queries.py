@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontam, exact_dedup, html_extract, langid, mixing, quality, sharding, simhash, tokens
+from strandline.llm import decontam, exact_dedup, html_extract, langid, mixing, quality, sharding, simhash, suffix_dedup, tokens
 from strandline.llm.common import read_table
 
 #: Place of the sentencepiece model; None: that of the installed package of public tokenizers.
@@ -49,6 +49,10 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -70,6 +74,7 @@ QUERIES = {
         op6_sharding,
         op7_token_counts,
         op8_simhash_near_dedup,
+        op9_suffix_array_dedup,
         op10_exact_dedup,
         pipeline,
     )
