@@ -13,17 +13,21 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACE_CLASS, shared_dir
+from strandline.llm.common import SPACE_CLASS, cut, shared_dir
 
 #: Copies of one text that are held against one copy of the kept text.
 HITS_PER_COPY = 500
 
+#: Groups of copies, counted, up to which their table (some 200 bytes each) is broadcast.
+BROADCAST_GROUPS = 100_000
+
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.minBatchesToRetain": "2",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 
 
@@ -95,7 +99,9 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256, files_per_batch:
     text that its group's locator names, and what differs is grouped by text.
     """
     groups = stream_groups(spark, path, digest, files_per_batch)
-    shared = groups.filter("n > 1").select("digest", F.col("at").alias("first"), "n")
+    shared = cut(groups.filter("n > 1").select("digest", F.col("at").alias("first"), "n"))
+    if shared.count() <= BROADCAST_GROUPS:
+        shared = F.broadcast(shared)  # then only texts of groups move; beyond, all texts meet the groups by shuffle
     rows = _keyed(spark.read.parquet(path), digest)
     # each copy of a kept text meets at most HITS_PER_COPY hits on average, so no group lands in one task
     parts = F.expr(f"cast((n + {HITS_PER_COPY - 1}) div {HITS_PER_COPY} as int)")
