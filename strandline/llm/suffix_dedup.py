@@ -104,9 +104,10 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return map_texts(docs, "n_bytes long, sha string, anchors array<struct<h long, c long, at int, lo int, hi int>>", make, carry=("doc_id", "row"))
 
 
-def repeats(contexts: list[tuple[bytes, int, int]]) -> list[list[tuple[int, int]]]:
-    """Of contexts (bytes, place of the anchor, count) of one anchor: the spans, from the anchor, of their
-    strings that occur in another context, or in several rows of the own class."""
+def repeats(contexts: list[tuple[bytes, int, int]]) -> list[tuple[int, int] | None]:
+    """Of contexts (bytes, place of the anchor, count) of one anchor: the span, from the anchor, of their
+    strings that occur in another context, or in several rows of the own class; one span at most, as all
+    those strings hold the anchor."""
     whole = {(c, a): [] for c, a, _ in contexts}
     words: dict[bytes, int] = {}
     cut_up = []
@@ -149,7 +150,7 @@ def repeats(contexts: list[tuple[bytes, int, int]]) -> list[list[tuple[int, int]
     out = []
     for c, a, n in contexts:
         own = [(-a, len(c) - a)] if n > 1 and len(c) >= LENGTH else whole[c, a]
-        out.append(_merged(own))
+        out.append((min(a for a, _ in own), max(b for _, b in own)) if own else None)
     return out
 
 
@@ -163,9 +164,6 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-
-
 def _compare(batches):
     """Spans of classes from rows (h, c, n, ctx, a) sorted by h."""
     group: list[tuple] = []
@@ -173,10 +171,10 @@ def _compare(batches):
     def done():
         if len(group) > 1:
             spans = repeats([(r[3], r[4], r[2]) for r in group])
-            rows = [(r[0], r[1], [{"a": a, "b": b} for a, b in s]) for r, s in zip(group, spans, strict=True) if s]
+            rows = [(r[0], r[1], *x) for r, x in zip(group, spans, strict=True) if x]
             if rows:
-                h, c, s = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(s, _SPANS)], names=["h", "c", "spans"])
+                cols = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "c", "a", "b"])
 
     for b in batches:
         for row in zip(*[col.to_pylist() for col in b.columns], strict=True):
@@ -187,23 +185,39 @@ def _compare(batches):
     yield from done()
 
 
+def _blocks(batches):
+    """Runs of SHARED whole symbols of the contexts (h, c, n, ctx, a), as (h, c, j, hash)."""
+    from xxhash import xxh3_64_intdigest
+
+    for b in batches:
+        out = []
+        for h, c, _, ctx, a in zip(*[col.to_pylist() for col in b.columns], strict=True):
+            for j in range(-(a // SYMBOL), 1):
+                run = ctx[a + SYMBOL * j : a + SYMBOL * (j + SHARED)]
+                if len(run) == SYMBOL * SHARED:
+                    out.append((h, c, j, xxh3_64_intdigest(run) - (1 << 63)))
+        if out:
+            cols = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["h", "c", "j", "d"])
+
+
 def _strings(batches):
-    """Every string of the contexts of (h, c, n, ctx, a) that holds the anchor, as (h, c, n, p, 128-bit hash)."""
-    from xxhash import xxh3_128_intdigest
+    """Strings of the contexts of (h, c, n, ctx, a, js) that start less than a symbol before a run js, as (h, c, n, p, hash)."""
+    from xxhash import xxh3_64_intdigest
 
     for b in batches:
-        for row in zip(*[col.to_pylist() for col in b.columns], strict=True):
-            h, c, n, ctx, a = row
-            ps = range(max(-a, GRAM - LENGTH), min(0, len(ctx) - a - LENGTH) + 1)
-            d = [xxh3_128_intdigest(ctx[a + p : a + p + LENGTH]) for p in ps]
+        for h, c, n, ctx, a, js in zip(*[col.to_pylist() for col in b.columns], strict=True):
+            ps = sorted({p for j in js for p in range(max(SYMBOL * (j - 1) + 1, GRAM - LENGTH, -a), min(SYMBOL * j, 0, len(ctx) - a - LENGTH) + 1)})
+            d = [xxh3_64_intdigest(ctx[a + p : a + p + LENGTH]) - (1 << 63) for p in ps]
             m = len(d)
-            yield pa.RecordBatch.from_pydict(
-                {"h": pa.array([h] * m, pa.int64()), "c": pa.array([c] * m, pa.int64()), "n": pa.array([n] * m, pa.int64()), "p": pa.array(list(ps), pa.int32()), "d": pa.array([x.to_bytes(16, "big") for x in d], pa.binary())}
-            )
+            if m:
+                yield pa.RecordBatch.from_pydict(
+                    {"h": pa.array([h] * m, pa.int64()), "c": pa.array([c] * m, pa.int64()), "n": pa.array([n] * m, pa.int64()), "p": pa.array(ps, pa.int32()), "d": pa.array(d, pa.int64())}
+                )
 
 
 def class_spans(known: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h, c, spans): what repeats around the anchors with several classes.
+    """(h, c, a, b): what repeats around the anchors with several classes.
 
     ``known`` has (h, c, n, row, at, classes) of one row of each class, ``texts`` (row, text).
     """
@@ -225,15 +239,18 @@ def class_spans(known: DataFrame, texts: DataFrame) -> DataFrame:
         return run
 
     wanted = known.groupBy("row").agg(F.collect_list(F.struct("h", "c", "n", "at", "classes")).alias("wanted"))
-    contexts = texts.join(wanted, "row").select("text", "wanted").mapInArrow(read(), "h long, c long, n long, ctx binary, a int, classes long")
+    contexts = cut(texts.join(wanted, "row").select("text", "wanted").mapInArrow(read(), "h long, c long, n long, ctx binary, a int, classes long"))
     few, many = contexts.filter(F.col("classes") <= CLASSES).drop("classes"), contexts.filter(F.col("classes") > CLASSES).drop("classes")
-    kind = "h long, c long, spans array<struct<a int, b int>>"
-    compared = few.repartition("h").sortWithinPartitions("h").mapInArrow(_compare, kind)
-    strings = many.mapInArrow(_strings, "h long, c long, n long, p int, d binary")
-    again = strings.groupBy("h", "d").agg(F.sum("n").alias("t")).filter("t > 1")
-    span = F.struct(F.col("p").alias("a"), (F.col("p") + LENGTH).cast("int").alias("b"))
-    dealt = strings.join(again.drop("t"), ["h", "d"]).groupBy("h", "c").agg(F.collect_list(span).alias("spans"))
-    return compared.unionByName(dealt)
+    compared = few.repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "h long, c long, a int, b int")
+    # anchors with very many classes: first runs of symbols, then strings around the runs that repeat, meet by hash
+    blocks = many.mapInArrow(_blocks, "h long, c long, j int, d long")
+    alike = blocks.groupBy("h", "j", "d").agg(F.count("*").alias("t")).filter("t > 1").drop("t")
+    live = blocks.join(alike, ["h", "j", "d"]).groupBy("h", "c").agg(F.collect_set("j").alias("js"))
+    strings = many.join(live, ["h", "c"]).select("h", "c", "n", "ctx", "a", "js").mapInArrow(_strings, "h long, c long, n long, p int, d long")
+    again = strings.groupBy("h", "p", "d").agg(F.sum("n").alias("t")).filter("t > 1").drop("t")
+    dealt = strings.drop("n").join(again, ["h", "p", "d"]).groupBy("h", "c").agg(F.min("p").alias("a"), (F.max("p") + LENGTH).cast("int").alias("b"))
+    own = many.filter((F.col("n") > 1) & (F.octet_length("ctx") >= LENGTH)).select("h", "c", (-F.col("a")).alias("a"), (F.octet_length("ctx") - F.col("a")).alias("b"))
+    return compared.unionByName(dealt).unionByName(own)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -250,12 +267,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     classes = occ.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "lo", "hi")).alias("first"))
     sums = classes.groupBy("h").agg(F.count("*").alias("classes"), F.sum("n").alias("rows")).filter("rows > 1")
     known = cut(classes.join(sums.select("h", "classes"), "h").select("h", "c", "n", "first.*", "classes"))
-    whole = F.array(F.struct((F.col("lo") - F.col("at")).alias("a"), (F.col("hi") - F.col("at")).alias("b")))
-    alone = known.filter("classes = 1").select("h", "c", whole.alias("spans"))
+    alone = known.filter("classes = 1").select("h", "c", (F.col("lo") - F.col("at")).alias("a"), (F.col("hi") - F.col("at")).alias("b"))
     spans = cut(alone.unionByName(class_spans(known.filter("classes > 1"), keyed.select("row", "text"))))
-    marks = occ.join(spans, ["h", "c"]).select("row", F.explode("spans").alias("s"), "at")
-    marks = marks.select("row", (F.col("at") + F.col("s.a")).alias("a"), (F.col("at") + F.col("s.b")).alias("b")).distinct()
-    marks = marks.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("marks"))
+    marks = occ.select("row", "h", "c", "at").join(spans, ["h", "c"]).select("row", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("s"))
+    marks = marks.groupBy("row").agg(F.collect_set("s").alias("marks"))
 
     def make():
         def one(packed):
