@@ -18,7 +18,7 @@ WINDOW = 10
 TABLE_BYTES = 16 << 20
 
 #: Bytes of text that one lane of the search walks through.
-LANE = 4096
+LANE = 1024
 
 #: A-Z to a-z; what the word rule leaves out to a space.
 _FOLD = bytes(ord(chr(c).lower()) if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -82,16 +82,19 @@ class Tables:
             step = self.shift[self.hashed(block)].astype(np.int64)
             zero = step == 0
             if zero.any():
-                ends = pos[zero]
-                first = at[ends - (self.m - self.b)] & mask
-                found.append(ends[np.isin(self.key(first, block[zero]), self.keys)] - (self.m - self.b))
+                starts = pos[zero] - (self.m - self.b)
+                found.append((starts, self.key(at[starts] & mask, block[zero])))
                 step[zero] = 1
             pos = pos + step
             live = pos < stop
             if not live.all():
                 pos, stop = pos[live], stop[live]
+        if not found:
+            return []
+        starts, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+        near = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)]
         out = []
-        for s in np.concatenate(found).tolist() if found else ():
+        for s in starts[near == keys].tolist():
             for p in self.buckets.get((text[s + self.m - self.b : s + self.m], text[s : s + self.b]), ()):
                 if text.startswith(p, s):
                     out.append((s, p))
