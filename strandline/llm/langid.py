@@ -68,13 +68,45 @@ def _scaled(ids, tf, idf):
     return x / max(np.sqrt(x @ x), 1e-12)
 
 
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """(documents with a letter, how many of them have each feature) over every row of docs.
+
+    Each task sends one vector; vectors meet in a tree, so the driver gets one however large the input is.
+    """
+
+    def summed(batches):
+        total = np.zeros(FEATURES + 1, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                c = counts(t.as_py())
+                if c is not None:
+                    total[:-1] += c > 0
+                    total[-1] += 1
+        yield pa.RecordBatch.from_pydict({"df": pa.array([total.tobytes()], pa.binary())})
+
+    def added(batches):
+        total = np.zeros(FEATURES + 1, np.int64)
+        for b in batches:
+            for v in b.column(0):
+                total += np.frombuffer(v.as_py(), np.int64)
+        yield pa.RecordBatch.from_pydict({"df": pa.array([total.tobytes()], pa.binary())})
+
+    slim = docs.select("text")
+    level, parts = slim.mapInArrow(summed, "df binary"), slim.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // 16)
+        level = level.repartition(parts).mapInArrow(added, "df binary")
+    total = sum((np.frombuffer(r["df"], np.int64) for r in level.collect()), np.zeros(FEATURES + 1, np.int64))
+    return int(total[-1]), total[:-1]
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict:
     """{labels, weights, idf, temperature} fitted on at most about ``rows`` documents with a language that are not held out.
 
     Each language gives an equal share, those with the least hashes of doc_id: counts of languages set the
     bound on the hash, so the sample is chosen by a filter in the scan. Features are made where the texts
-    lie; one task, of bounded input, does the sequential updates. Document frequencies are those of the
-    sample. Every eighth row of it fits the temperature and no weight.
+    lie; one task, of bounded input, does the sequential updates. Document frequencies
+    are those of all documents that may teach. Every eighth row of the sample fits the temperature and no weight.
     """
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -82,6 +114,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict
         return {"labels": []}
     names = sorted(n)
     share = max(8, rows // len(names))
+    n_docs, df = document_frequencies(known)
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
     hashed = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
     bound = F.create_map(*[F.lit(x) for k in names for x in (k, int(min(1.0, share / n[k]) * (1 << 30)))])
     sample = known.filter(hashed <= F.try_element_at(bound, F.col("lang"))).select(F.xxhash64("doc_id").alias("order"), "lang", "text")
@@ -99,10 +133,6 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict
         got = pd.concat([b.to_pandas() for b in batches] or [pd.DataFrame({"order": [], "lang": [], "ids": [], "tf": []})])
         got = got.sort_values(["order", "lang", "ids"]).drop_duplicates(["lang", "ids", "tf"])
         data = [(np.frombuffer(i, np.int32), np.frombuffer(t, np.float32).astype(float), names.index(y)) for i, t, y in zip(got["ids"], got["tf"], got["lang"], strict=True)]
-        df = np.zeros(FEATURES)
-        for ids, _, _ in data:
-            df[ids] += 1
-        idf = np.log((1 + len(data)) / (1 + df)) + 1
         model = Ftrl(FEATURES, len(names), alpha=0.5, l1=0.01, l2=0.1)
         eye = np.eye(len(names))
         data = [(ids, _scaled(ids, tf, idf), y) for ids, tf, y in data]
@@ -117,10 +147,10 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict
             return -sum(np.log(max(softmax(m / t)[y], 1e-12)) for m, y in apart)
 
         best = min(np.geomspace(0.5, 5, 40), key=loss) if apart else 1.0
-        yield pa.RecordBatch.from_pydict({"w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "idf": pa.array([idf.tobytes()], pa.binary()), "t": pa.array([float(best)])})
+        yield pa.RecordBatch.from_pydict({"w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "t": pa.array([float(best)])})
 
-    got = made.repartition(1).mapInArrow(fit, "w binary, idf binary, t double").first()
-    return {"labels": names, "weights": np.frombuffer(got["w"], np.float32).reshape(FEATURES + 1, len(names)), "idf": np.frombuffer(got["idf"]), "temperature": got["t"]}
+    got = made.repartition(1).mapInArrow(fit, "w binary, t double").first()
+    return {"labels": names, "weights": np.frombuffer(got["w"], np.float32).reshape(FEATURES + 1, len(names)), "idf": idf, "temperature": got["t"]}
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:

@@ -261,4 +261,8 @@ def test_quality_and_language(spark):
     true = {r[0]: r[2] for r in rows if r[2] and r[0] is not None and r[0] < 400 and r[0] % 3 != 1}
     held = [i for i in true if lang[i].held_out]
     assert held and sum(lang[i].lang_pred == true[i] for i in held) / len(held) > 0.9
+    n, df = langid.document_frequencies(docs.repartition(20))
+    found = [c for c in (langid.counts(r[1]) for r in rows) if c is not None]
+    assert n == len(found) and (df == sum(c > 0 for c in found)).all()
+    assert langid.document_frequencies(docs.limit(0))[0] == 0
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
