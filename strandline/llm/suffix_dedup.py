@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, map_texts
+from strandline.llm.common import cut, map_texts, release, written
 from strandline.llm.suffix_array import lcp_array, suffix_array
 
 #: Bytes of a repeated string, bytes of an anchor, and starts of anchors in a string.
@@ -85,7 +85,7 @@ def _context(text: bytes, at: int) -> tuple[int, bytes]:
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """Of each row its key, bytes, sha256 and anchors as (h, class, place, context's start and end)."""
+    """Of each row its key, bytes and sha256, and of its anchors the hashes, classes and places."""
 
     def make():
         from xxhash import xxh3_64_intdigest
@@ -93,15 +93,15 @@ def _anchored(docs: DataFrame) -> DataFrame:
         def one(text):
             raw = (text or "").encode()
             at, h = anchors(raw)
-            rows = []
-            for a, x in zip(at.tolist(), h.tolist(), strict=True):
+            c = np.zeros(len(at), np.int64)
+            for k, a in enumerate(at.tolist()):
                 lo, ctx = _context(raw, a)
-                rows.append({"h": x, "c": xxh3_64_intdigest(ctx, a - lo) - (1 << 63), "at": a, "lo": lo, "hi": lo + len(ctx)})
-            return len(raw), hashlib.sha256(raw).hexdigest(), rows
+                c[k] = xxh3_64_intdigest(ctx, a - lo) - (1 << 63)
+            return len(raw), hashlib.sha256(raw).hexdigest(), h, c, at.astype(np.int32)
 
-        return lambda texts: list(zip(*map(one, texts), strict=True)) if texts else [[], [], []]
+        return lambda texts: list(zip(*map(one, texts), strict=True)) if texts else [[]] * 5
 
-    return map_texts(docs, "n_bytes long, sha string, anchors array<struct<h long, c long, at int, lo int, hi int>>", make, carry=("doc_id", "row"))
+    return map_texts(docs, "n_bytes long, sha string, h array<long>, c array<long>, at array<int>", make, carry=("doc_id", "row"))
 
 
 def repeats(contexts: list[tuple[bytes, int, int]]) -> list[tuple[int, int] | None]:
@@ -216,8 +216,8 @@ def _strings(batches):
                 )
 
 
-def class_spans(known: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h, c, a, b): what repeats around the anchors with several classes.
+def class_contexts(known: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, c, n, ctx, a, classes): the context of one row of each class, and the anchor's place in it.
 
     ``known`` has (h, c, n, row, at, classes) of one row of each class, ``texts`` (row, text).
     """
@@ -239,7 +239,11 @@ def class_spans(known: DataFrame, texts: DataFrame) -> DataFrame:
         return run
 
     wanted = known.groupBy("row").agg(F.collect_list(F.struct("h", "c", "n", "at", "classes")).alias("wanted"))
-    contexts = cut(texts.join(wanted, "row").select("text", "wanted").mapInArrow(read(), "h long, c long, n long, ctx binary, a int, classes long"))
+    return texts.join(wanted, "row").select("text", "wanted").mapInArrow(read(), "h long, c long, n long, ctx binary, a int, classes long")
+
+
+def class_spans(contexts: DataFrame) -> DataFrame:
+    """(h, c, a, b): what repeats around the anchors with several classes."""
     few, many = contexts.filter(F.col("classes") <= CLASSES).drop("classes"), contexts.filter(F.col("classes") > CLASSES).drop("classes")
     compared = few.repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "h long, c long, a int, b int")
     # anchors with very many classes: first runs of symbols, then strings around the runs that repeat, meet by hash
@@ -259,18 +263,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Texts are UTF-8 bytes, null is empty; a text under 400 bytes keeps all. A text that is there twice, in
     rows that repeat or not, loses every byte in both. Other columns are ignored; no rows give no rows.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     row = F.struct(F.xxhash64("doc_id", text).alias("a"), F.xxhash64(F.lit(1), "doc_id", text).alias("b"))
     keyed = docs.select("doc_id", text.alias("text"), row.alias("row"))
     found = cut(_anchored(keyed))
-    occ = found.select("row", F.explode("anchors").alias("x")).select("row", "x.*")
-    classes = occ.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "lo", "hi")).alias("first"))
+    occ = found.select("row", "n_bytes", F.inline(F.arrays_zip("h", "c", "at")))
+    tail = F.least(F.col("n_bytes") - F.col("at"), F.lit(LENGTH)).cast("int")
+    classes = occ.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", tail.alias("tail"))).alias("first"))
     sums = classes.groupBy("h").agg(F.count("*").alias("classes"), F.sum("n").alias("rows")).filter("rows > 1")
     known = cut(classes.join(sums.select("h", "classes"), "h").select("h", "c", "n", "first.*", "classes"))
-    alone = known.filter("classes = 1").select("h", "c", (F.col("lo") - F.col("at")).alias("a"), (F.col("hi") - F.col("at")).alias("b"))
-    spans = cut(alone.unionByName(class_spans(known.filter("classes > 1"), keyed.select("row", "text"))))
+    release(spark)
+    contexts, path = written(class_contexts(known.filter("classes > 1"), keyed.select("row", "text")))
+    release(spark)
+    alone = known.filter("classes = 1").select("h", "c", (-F.least("at", F.lit(LENGTH - GRAM))).alias("a"), F.col("tail").alias("b"))
+    spans = cut(alone.unionByName(class_spans(contexts)))
+    del known, alone
+    release(spark, path)
     marks = occ.select("row", "h", "c", "at").join(spans, ["h", "c"]).select("row", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("s"))
-    marks = marks.groupBy("row").agg(F.collect_set("s").alias("marks"))
+    marks = cut(marks.groupBy("row").agg(F.collect_set("s").alias("marks")))
+    del spans
+    release(spark)
 
     def make():
         def one(packed):
@@ -284,8 +297,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         return lambda rows: list(zip(*map(one, rows), strict=True)) if rows else [[], [], []]
 
-    hit = keyed.select("row", "text").dropDuplicates(["row"]).join(marks, "row").select("row", F.struct("text", "marks").alias("packed"))
-    removed = map_texts(hit, "n_removed long, n_spans long, kept string", make, carry=("row",), text="packed")
+    hit = keyed.select("row", "text").join(marks, "row").select("row", F.struct("text", "marks").alias("packed"))
+    # repeated rows have one result: they are joined as they are, so that a hot row can be split, and meet without texts
+    removed = cut(map_texts(hit, "n_removed long, n_spans long, kept string", make, carry=("row",), text="packed")).dropDuplicates(["row"])
+    release(spark)
     out = found.select("doc_id", "row", "n_bytes", "sha").join(removed, "row", "left")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
-
