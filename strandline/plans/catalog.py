@@ -368,9 +368,9 @@ def spectral_forecastability(spark, d):
     return _channel_quality(spark, d).select("subset", "item_id", "channel", r6("forecastability"), "missing_ratio")
 
 
-@query("SELECT subset, item_id, round(trend_strength, 5) AS trend_strength, round(seasonality_strength, 5) AS seasonality_strength FROM i", "i")
+@query("SELECT subset, item_id, round(trend_strength, 9) AS trend_strength, round(seasonality_strength, 9) AS seasonality_strength FROM i", "i")
 def item_quality(spark, d):
-    return _items(spark, d).select("subset", "item_id", F.round("trend_strength", 5).alias("trend_strength"), F.round("seasonality_strength", 5).alias("seasonality_strength"))
+    return _items(spark, d).select("subset", "item_id", F.round("trend_strength", 9).alias("trend_strength"), F.round("seasonality_strength", 9).alias("seasonality_strength"))
 
 
 MEDIAN = "concat_ws('_', CASE WHEN trend_strength >= (SELECT median(trend_strength) FROM i) THEN 'highT' ELSE 'lowT' END, CASE WHEN seasonality_strength >= (SELECT median(seasonality_strength) FROM i) THEN 'highS' ELSE 'lowS' END, CASE WHEN forecastability >= (SELECT median(forecastability) FROM i) THEN 'highF' ELSE 'lowF' END)"
