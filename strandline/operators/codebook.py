@@ -59,8 +59,10 @@ def candidates(items: DataFrame) -> DataFrame:
     counts = items.groupBy("official_cluster_code").count()
     exact = counts.join(items.sparkSession.createDataFrame(list(zip(CODES, PUBLISHED_COUNTS, strict=True)), "official_cluster_code int, want long"), "official_cluster_code", "full")
     exact = exact.agg(F.coalesce(F.bool_and(F.col("count").eqNullSafe(F.col("want"))), F.lit(False)).alias("paper_item_counts_match"))
-    cells = F.array(*[F.struct(F.lit(k).alias("k"), cell_of(F.col("official_cluster_code"), p, h).alias("cell")) for k, (p, h) in enumerate(readings)])
-    rows = items.withColumn("r", F.explode(cells)).withColumn("cell", F.col("r.cell")).withColumn("k", F.col("r.k"))
+    # all readings of all 27 codes, a table of fixed size, stand for 48 expressions that would outgrow one generated method
+    cells = items.sparkSession.createDataFrame([(c, k, _cell(c, p, h)) for c in range(27) for k, (p, h) in enumerate(readings)], "__code int, k int, cell string")
+    code = F.when(F.col("official_cluster_code").between(0, 26), F.col("official_cluster_code")).otherwise(F.raise_error(F.lit("a code must lie within 0 and 26")).cast("int"))
+    rows = items.withColumn("__code", code).join(F.broadcast(cells), "__code")
     s = rows.groupBy("k").agg(
         agreement(F.col("cell"), F.col("stl_tsf_cell")).alias("stl_item_exact_match_ratio"),
         agreement(F.col("cell"), F.col("proxy_tsf_cell")).alias("proxy_item_exact_match_ratio"),

@@ -103,8 +103,8 @@ def global_scaler(windows: DataFrame) -> DataFrame:
 
 
 def scale(a: Column, mean: Column, std: Column) -> Column:
-    """(x - mean) / std in single precision."""
-    return F.transform(a, lambda x: ((x.cast("float") - mean.cast("float")) / std.cast("float")).cast("double"))
+    """(x - mean) / std in single precision. Spark divides floats as doubles, so the quotient is rounded once more."""
+    return F.transform(a, lambda x: ((x.cast("float") - mean.cast("float")) / std.cast("float")).cast("float").cast("double"))
 
 
 def unscale(a: Column, mean: Column, std: Column) -> Column:

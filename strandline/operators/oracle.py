@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.ranks import quantiles
 from strandline.operators.checks import ensure_unique_key
 from strandline.operators.experts import WINDOW
 
@@ -128,20 +129,23 @@ def macro_mean(errors: DataFrame, unit: Sequence[str], by: Sequence[str] = ("exp
 
 def robust_metrics(errors: DataFrame, drop_top: int = 1, winsor: float = 0.99, delta: float = 1.0) -> DataFrame:
     """Each expert's mean mse without its worst windows, winsorized at a quantile, and the Huber loss of its root."""
-    w = Window.partitionBy("expert_id")
-    r = errors.withColumn("k", F.row_number().over(w.orderBy(F.desc("mse"), WINDOW)))
-    cap = errors.groupBy("expert_id").agg(F.expr(f"percentile(mse, {winsor})").alias("cap"))
-    r = r.join(cap, "expert_id")
+    # the last of the windows to drop: all that come after it stay
+    worst = errors.select("expert_id", F.col("mse").alias("__m"), F.col(WINDOW).alias("__w"))
+    worst = worst.withColumn("k", F.row_number().over(Window.partitionBy("expert_id").orderBy(F.desc("__m"), "__w"))).filter(F.col("k") <= drop_top).filter(F.col("k") == drop_top).drop("k")
+    r = errors.join(worst, "expert_id", "left").join(quantiles(errors, "mse", {"cap": winsor}, ["expert_id"]), "expert_id", "left")
+    stays = (F.col("mse") < F.col("__m")) | ((F.col("mse") == F.col("__m")) & (F.col(WINDOW) > F.col("__w"))) if drop_top else F.lit(True)
     root = F.sqrt("mse")
     huber = F.when(root <= delta, F.col("mse") / 2).otherwise(delta * (root - delta / 2))
-    return r.groupBy("expert_id").agg(F.avg(F.when(F.col("k") > drop_top, F.col("mse"))).alias("drop_top_mse"), F.avg(F.least("mse", "cap")).alias("winsorized_mse"), F.avg(huber).alias("huber"))
+    return r.groupBy("expert_id").agg(F.avg(F.when(stays, F.col("mse"))).alias("drop_top_mse"), F.avg(F.least("mse", "cap")).alias("winsorized_mse"), F.avg(huber).alias("huber"))
 
 
 def worst_windows(errors: DataFrame, top: int = 100) -> DataFrame:
     """The windows with the largest mse of each expert, their rank and their share of its total."""
-    w = Window.partitionBy("expert_id")
-    r = errors.withColumn("worst_rank", F.row_number().over(w.orderBy(F.desc("mse"), WINDOW))).withColumn("share", F.col("mse") / F.sum("mse").over(w))
-    return r.filter(F.col("worst_rank") <= top).select("expert_id", WINDOW, "mse", "worst_rank", "share")
+    # a rank with a bound keeps few rows of each task before the shuffle; totals are sums of their own
+    w = Window.partitionBy("expert_id").orderBy(F.desc("mse"), WINDOW)
+    r = errors.select("expert_id", WINDOW, "mse").withColumn("worst_rank", F.row_number().over(w)).filter(F.col("worst_rank") <= top)
+    totals = errors.groupBy("expert_id").agg(F.sum("mse").alias("__t"))
+    return r.join(totals, "expert_id").select("expert_id", WINDOW, "mse", "worst_rank", (F.col("mse") / F.col("__t")).alias("share"))
 
 
 def cache_overlap(caches: dict[str, DataFrame]) -> DataFrame:
@@ -164,6 +168,7 @@ def prediction_scale(predicted: DataFrame, targets: DataFrame) -> DataFrame:
     kinds = [("prediction", F.col("yhat")), ("target", F.col("target")), ("abs_error", F.abs(F.col("yhat") - F.col("target")))]
     v = steps.select("expert_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("x")) for k, x in kinds])).alias("v")).select("expert_id", "v.kind", "v.x")
     ok = F.when(~F.isnan("x") & (F.abs("x") != float("inf")), F.col("x"))
-    q = F.percentile(ok, F.array(*map(F.lit, (0.5, 0.9, 0.99, 0.999))))
-    s = v.groupBy("expert_id", "kind").agg(F.min(ok).alias("min"), F.max(ok).alias("max"), F.avg(ok).alias("mean"), F.stddev_pop(ok).alias("std"), q.alias("q"), (F.count(ok) / F.count("*")).alias("finite_rate"))
-    return s.select("expert_id", "kind", "min", "max", "mean", "std", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p50", "p90", "p99", "p999"))], "finite_rate")
+    keys, shares = ["expert_id", "kind"], {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+    s = v.groupBy(*keys).agg(F.min(ok).alias("min"), F.max(ok).alias("max"), F.avg(ok).alias("mean"), F.stddev_pop(ok).alias("std"), (F.count(ok) / F.count("*")).alias("finite_rate"))
+    q = quantiles(v.withColumn("x", ok), "x", shares, keys)
+    return s.join(q, keys, "left").select(*keys, "min", "max", "mean", "std", *shares, "finite_rate")

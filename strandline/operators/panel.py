@@ -84,9 +84,24 @@ def downsample(values: Column, most: int) -> Column:
 
 
 def strided(df: DataFrame, order: Sequence[str], stride: int, most: int | None = None) -> DataFrame:
-    """Every stride-th row in the order given, the first ``most`` of them. The order is global, as for a report."""
-    rows = df.withColumn("__i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).filter(F.col("__i") % stride == 0)
-    return (rows.filter(F.col("__i") < stride * most) if most else rows).drop("__i")
+    """Every stride-th row in the order given, the first ``most`` of them.
+
+    The first are found among the least rows of each task. Without ``most``, rows are counted within equal
+    values of all columns of the order but the last, and these groups are put in order by their counts.
+    """
+    one = Window.partitionBy(F.lit(0))
+    if most:
+        first = df.orderBy(*order).limit(stride * most)
+        return first.withColumn("__i", F.row_number().over(one.orderBy(*order)) - 1).filter(F.col("__i") % stride == 0).drop("__i")
+    group = list(order[:-1])
+    if not group:
+        return df.withColumn("__i", F.row_number().over(one.orderBy(*order)) - 1).filter(F.col("__i") % stride == 0).drop("__i")
+    before = F.sum("__n").over(one.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = df.groupBy(*group).agg(F.count("*").alias("__n")).withColumn("__o", F.coalesce(before, F.lit(0)))
+    offsets = offsets.select(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(group)], "__o")
+    same = F.expr(" and ".join(f"{c} <=> __g{k}" for k, c in enumerate(group)))
+    rows = df.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(order[-1])) - 1).join(offsets, same)
+    return rows.filter((F.col("__o") + F.col("__r")) % stride == 0).select(*df.columns)
 
 
 def replicate(items: DataFrame, channels: Sequence[str]) -> DataFrame:

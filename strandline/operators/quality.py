@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.arrays import centred, let, mean, power, std, total
+from strandline.functions.ranks import quantiles, value_ranks
 from strandline.operators.panel import ITEM, downsample
 
 METRICS = ("trend_strength", "seasonality_strength", "forecastability")
@@ -130,19 +131,19 @@ def quantile_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
     x = F.expr("try_cast(v.x as double)")
     rows = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("x")) for c in columns])).alias("v")).select(*by, "v.metric", x.alias("x"))
     rows = rows.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
-    q = F.percentile("x", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    s = rows.groupBy(*by, "metric").agg(q.alias("q"), F.avg("x").alias("mean"), F.count("x").alias("n"))
-    return s.select(*by, "metric", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("min", "p25", "p50", "p75", "max"))], "mean", "n")
+    keys = [*by, "metric"]
+    s = rows.groupBy(*keys).agg(F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.count("x").alias("n"))
+    q = quantiles(rows, "x", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, keys).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.expr(" and ".join(f"{k} <=> __{k}" for k in keys))
+    return s.join(q, same, "left").select(*keys, "min", "p25", "p50", "p75", "max", "mean", "n")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: correlation of average ranks. Ranks come from counts of distinct values, not from one long sort."""
-    t = df.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
+    t = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
 
     def ranks(c: str) -> DataFrame:
-        n = t.groupBy(c).count()
-        before = F.sum("count").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return n.select(c, (F.coalesce(before, F.lit(0)) + (F.col("count") + 1) / 2).alias(f"r{c}"))
+        return value_ranks(t, c).select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{c}"))
 
     return t.join(ranks("a"), "a").join(ranks("b"), "b").agg(F.corr("ra", "rb").alias("spearman"), F.count("*").alias("n"))
 

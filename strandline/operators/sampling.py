@@ -12,6 +12,13 @@ def _order(seed: int, key: str) -> list[Column]:
     return [F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
 
 
+def _ranked(df: DataFrame, strata: Sequence[str], most: int, seed: int, key: str) -> DataFrame:
+    """The first ``most`` rows of each group and their rank. A sample of so many rows takes no others, and a bounded
+    rank lets each task drop the rest before the shuffle, however large the group."""
+    w = Window.partitionBy(*strata).orderBy(*_order(seed, key))
+    return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most)
+
+
 def proportional(df: DataFrame, strata: Sequence[str], target: int, seed: int, key: str = "physical_window_id") -> DataFrame:
     """target rows in proportion to the strata: whole parts first, then by largest remainder and size."""
     total = df.count()
@@ -24,7 +31,7 @@ def proportional(df: DataFrame, strata: Sequence[str], target: int, seed: int, k
     one = Window.partitionBy(F.lit(0))
     q = q.withColumn("left", target - F.sum("q").over(one)).withColumn("k", F.row_number().over(one.orderBy(F.desc("f"), F.desc("n"), *strata)))
     q = q.withColumn("quota", F.col("q") + (F.col("k") <= F.col("left")).cast("int")).select(*strata, "quota")
-    r = df.withColumn("__r", F.row_number().over(Window.partitionBy(*strata).orderBy(*_order(seed, key))))
+    r = _ranked(df, strata, target, seed, key)
     q = q.withColumnsRenamed({s: f"__{s}" for s in strata})
     cond = F.expr(" and ".join(f"{s} <=> __{s}" for s in strata))
     return r.join(q, cond).filter("__r <= quota").drop("__r", "quota", *[f"__{s}" for s in strata])
@@ -32,27 +39,25 @@ def proportional(df: DataFrame, strata: Sequence[str], target: int, seed: int, k
 
 def round_robin(df: DataFrame, strata: Sequence[str], target: int, seed: int, key: str = "physical_window_id") -> DataFrame:
     """Equal quotas, bounded by group sizes, what is left dealt on in group order: the first target rows by (rank in group, group)."""
-    r = df.withColumn("__r", F.row_number().over(Window.partitionBy(*strata).orderBy(*_order(seed, key))))
+    r = _ranked(df, strata, target, seed, key)
     return r.orderBy("__r", *strata).limit(target).drop("__r")
 
 
 def equal_quota_fill(df: DataFrame, strata: Sequence[str], target: int, seed: int, key: str = "physical_window_id") -> DataFrame:
     """max(1, T // G) rows of each group, one more of the first T % G, then a fill from all other rows, T in all."""
-    w = Window.partitionBy(*strata).orderBy(*_order(seed, key))
     groups = df.select(*strata).distinct()
     g = groups.withColumn("__g", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*strata))).withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(0))))
     base = F.greatest(F.floor(F.lit(target) / F.col("__n")), F.lit(1))
     g = g.withColumn("__q", base + (F.col("__g") <= F.greatest(F.lit(target) - base * F.col("__n"), F.lit(0))).cast("int"))
     g = g.withColumnsRenamed({s: f"__k{s}" for s in strata})
-    r = df.withColumn("__r", F.row_number().over(w)).join(g, F.expr(" and ".join(f"{s} <=> __k{s}" for s in strata)))
+    r = _ranked(df, strata, target, seed, key).join(g, F.expr(" and ".join(f"{s} <=> __k{s}" for s in strata)))
     r = r.withColumn("__fill", (F.col("__r") > F.col("__q")).cast("int"))
     return r.orderBy("__fill", "__r", "__g").limit(target).select(*df.columns)
 
 
 def capped(df: DataFrame, strata: Sequence[str], cap: int, seed: int, key: str = "physical_window_id") -> DataFrame:
     """At most cap rows of each group."""
-    r = df.withColumn("__r", F.row_number().over(Window.partitionBy(*strata).orderBy(*_order(seed, key))))
-    return r.filter(F.col("__r") <= cap).drop("__r")
+    return _ranked(df, strata, cap, seed, key).drop("__r")
 
 
 def latency_sample(df: DataFrame, strata: Sequence[str], target: int, seed: int, key: str = "physical_window_id") -> DataFrame:

@@ -234,12 +234,18 @@ def global_scaler(spark, d):
     return experts.global_scaler(D.windows(spark, d)).select(r6("scaler_mean"), r6("scaler_std"))
 
 
-@query()
+@query(
+    f"""SELECT physical_window_id, expert_id, round(m, 6) AS mse, round(a, 6) AS mae, CAST(row_number() OVER (PARTITION BY physical_window_id ORDER BY round(m, 9), o) AS INT) AS rank_in_window
+  FROM (SELECT physical_window_id, expert_id, o, list_sum([(ty[i + 1] - py[i + 1]) * (ty[i + 1] - py[i + 1]) for i in range({P})]) / {P} AS m, list_sum([abs(ty[i + 1] - py[i + 1]) for i in range({P})]) / {P} AS a FROM ne)""",
+    "s b p",
+    """sc AS (SELECT subset, item_id, channel, avg(x) AS sm, stddev_pop(x) + 1e-8 AS ss FROM (SELECT s.subset, s.item_id, s.channel, unnest(s.vals[1 : b.e]) AS x FROM s JOIN b ON b.subset = s.subset AND b.item_id = s.item_id AND b.split = 'train') GROUP BY ALL),
+ne AS (SELECT p.physical_window_id, p.expert_id, p.o, [CAST((CAST(x AS FLOAT) - CAST(sm AS FLOAT)) / CAST(ss AS FLOAT) AS DOUBLE) for x in target] AS ty, [CAST((CAST(x AS FLOAT) - CAST(sm AS FLOAT)) / CAST(ss AS FLOAT) AS DOUBLE) for x in yhat] AS py FROM p JOIN sc USING (subset, item_id, channel))""",
+)
 def normalized_errors(spark, d):
     w = D.windows(spark, d)
     train = panel.split_lengths(D.panel(spark, d), D.CUTOFF).filter("split = 'train'").select("subset", "item_id", F.col("split_length").alias("train_length"))
     out = experts.normalized_errors(experts.predictions(w), w, experts.train_scalers(D.series(spark, d), train))
-    return out.select(WINDOW, "expert_id", r6("mse"), r6("mae"), "rank_in_window")
+    return experts.ranked(out.withColumn("mse", F.round("mse", 9))).select(WINDOW, "expert_id", r6("mse"), r6("mae"), "rank_in_window")
 
 
 # ---- summaries ----
@@ -302,7 +308,13 @@ def common_windows(spark, d):
     return oracle.common_windows(e, ["last_value", "seasonal_naive"]).select(WINDOW, "expert_id", r6("mse"))
 
 
-@query()
+@query(
+    """SELECT group_kind, group_value, count(*) AS windows, any_value(f.e) AS best_fixed_expert, round(any_value(f.m), 6) AS best_fixed_mse, round(avg(o), 6) AS oracle_mse
+  FROM (SELECT group_kind, group_value, physical_window_id, min(mse) AS o FROM g3 GROUP BY ALL) JOIN (
+    SELECT group_kind, group_value, min({'m': m, 'a': a, 'e': expert_id}) AS f FROM (SELECT group_kind, group_value, expert_id, avg(mse) AS m, avg(mae) AS a FROM g3 GROUP BY ALL) GROUP BY ALL) USING (group_kind, group_value) GROUP BY ALL""",
+    "er",
+    """g3 AS (SELECT er.*, x.k AS group_kind, x.v AS group_value FROM er, LATERAL (SELECT unnest([{'k': 'overall', 'v': 'all'}, {'k': 'split', 'v': split}, {'k': 'official_tsf_cell', 'v': official_tsf_cell}]) AS x) WHERE expert_id != 'linear_trend')""",
+)
 def expert_comparison(spark, d):
     e = _errors(spark, d)
     names = ["last_value", "seasonal_naive", "recent_mean"]
@@ -326,9 +338,9 @@ def robust_metrics(spark, d):
     return oracle.robust_metrics(_errors(spark, d)).select("expert_id", r6("drop_top_mse"), r6("winsorized_mse"), r6("huber"))
 
 
-@query()
+@query("SELECT expert_id, physical_window_id, round(m, 6) AS mse, CAST(k AS INT) AS worst_rank, round(m / t, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY expert_id ORDER BY m DESC, physical_window_id) AS k, sum(m) OVER (PARTITION BY expert_id) AS t FROM (SELECT expert_id, physical_window_id, round(mse, 9) AS m FROM er)) WHERE k <= 100", "er")
 def worst_windows(spark, d):
-    return oracle.worst_windows(_errors(spark, d), 100).select("expert_id", WINDOW, r6("mse"), "worst_rank", r6("share"))
+    return oracle.worst_windows(_errors(spark, d).withColumn("mse", F.round("mse", 9)), 100).select("expert_id", WINDOW, r6("mse"), "worst_rank", r6("share"))
 
 
 @query("SELECT 'all' AS cache, count(*) AS rows, count(*) AS keys, count(DISTINCT physical_window_id) AS windows, 'last_value,linear_trend,recent_mean,seasonal_naive' AS experts, (SELECT count(DISTINCT physical_window_id) FROM er WHERE split = 'test') AS common_windows FROM er UNION ALL SELECT 'test', count(*), count(*), count(DISTINCT physical_window_id), 'last_value', count(DISTINCT physical_window_id) FROM er WHERE split = 'test' AND expert_id = 'last_value'", "er")
@@ -457,7 +469,21 @@ def codebook_candidates(spark, d):
     return codebook.candidates(_labelled(spark, d)).select("candidate_rank", "digit_1_dim", "digit_2_dim", "digit_3_dim", "trend_high_digit", "seasonality_high_digit", "forecastability_high_digit", r6("evidence_score"))
 
 
-@query()
+def _mode_sql(name: str) -> str:
+    return f"""{name}_m AS (SELECT code, cell AS mode, c / t AS ratio, c AS count FROM (SELECT *, sum(c) OVER (PARTITION BY code) AS t, row_number() OVER (PARTITION BY code ORDER BY c DESC, cell) AS k
+  FROM (SELECT code, {name} AS cell, count(*) AS c FROM lb GROUP BY ALL)) WHERE k = 1)"""
+
+
+@query(
+    """SELECT code AS official_cluster_code, s.mode AS stl_mode, s.ratio AS stl_ratio, s.count AS stl_count, p.mode AS proxy_mode, p.ratio AS proxy_ratio, p.count AS proxy_count, items,
+  CAST(dims AS INT) AS agreeing_dimensions, s.mode AS semantic_name, CASE WHEN s.mode = p.mode AND s.ratio >= 0.6 AND p.ratio >= 0.6 THEN 'high' WHEN s.mode = p.mode THEN 'medium' WHEN dims >= 2 AND s.ratio >= 0.5 THEN 'medium' ELSE 'low' END AS confidence
+  FROM stl_m s JOIN proxy_m p USING (code) JOIN (SELECT code, count(*) AS items FROM lb GROUP BY ALL) USING (code),
+  LATERAL (SELECT len([x for x in range(1, 4) if split_part(s.mode, '_', x) = split_part(p.mode, '_', x)]) AS dims)""",
+    "i n",
+    f"""lb AS (SELECT n.cluster AS code, {MEDIAN} AS proxy, concat_ws('_', CASE WHEN trend_strength > 0.05 THEN 'highT' ELSE 'lowT' END, CASE WHEN seasonality_strength > 0.05 THEN 'highS' ELSE 'lowS' END,
+  CASE WHEN forecastability > 0.05 THEN 'highF' ELSE 'lowF' END) AS stl FROM i JOIN n USING (subset, item_id)),
+{_mode_sql("stl")}, {_mode_sql("proxy")}""",
+)
 def cluster_semantics(spark, d):
     return codebook.semantics(_labelled(spark, d))
 
@@ -477,7 +503,14 @@ def light_proxy(spark, d):
     return out.select(WINDOW, *[r6(c) for c in ("mean", "std", "min", "max", "amplitude", "last_value", "missing_ratio", "slope", "median", "acf_lag1")])
 
 
-@query()
+@query(
+    f"""SELECT physical_window_id, round(CASE WHEN t > 1e-12 THEN list_sum([-(x / t) * ln(x / t + 1e-12) for x in pw]) / ln({H // 2}) ELSE 0 END, 6) AS spectral_entropy,
+  round(CASE WHEN t > 1e-12 THEN list_max(pw) / t ELSE 0 END, 6) AS dominant_frequency_strength
+  FROM (SELECT physical_window_id, pw, list_sum(pw) AS t FROM (SELECT physical_window_id, [list_sum([c[i + 1] * cos(2 * pi() * (k * i % {H}) / {H}) for i in range({H})]) ^ 2
+    + list_sum([c[i + 1] * sin(2 * pi() * (k * i % {H}) / {H}) for i in range({H})]) ^ 2 for k in range(1, {H // 2 + 1})] AS pw
+    FROM (SELECT physical_window_id, [x - m for x in history] AS c FROM (SELECT physical_window_id, history, list_sum(history) / {H} AS m FROM w))))""",
+    "w",
+)
 def spectral_features(spark, d):
     w = D.windows(spark, d, target=False)
     s = A.spectral(A.filled(F.col("history")))
@@ -529,12 +562,17 @@ def capped_sample(spark, d):
     return sampling.capped(D.registry(spark, d), STRATA, 3, 7).select(WINDOW)
 
 
-@query()
+@query(
+    f"""SELECT physical_window_id, split, subset, official_tsf_cell FROM (SELECT *, row_number() OVER (PARTITION BY split, subset, official_tsf_cell ORDER BY {_hashed(7)}, physical_window_id) AS r FROM w)
+  JOIN (SELECT *, greatest(100 // n, 1) + CASE WHEN g <= greatest(100 - greatest(100 // n, 1) * n, 0) THEN 1 ELSE 0 END AS q FROM (
+    SELECT *, row_number() OVER (ORDER BY split, subset, official_tsf_cell) AS g, count(*) OVER () AS n FROM (SELECT DISTINCT split, subset, official_tsf_cell FROM w))) USING (split, subset, official_tsf_cell) ORDER BY r > q, r, g LIMIT 100""",
+    "w",
+)
 def equal_quota_sample(spark, d):
     return sampling.equal_quota_fill(D.registry(spark, d), STRATA, 100, 7).select(WINDOW, *STRATA)
 
 
-@query()
+@query(f"SELECT physical_window_id, split, subset, official_tsf_cell FROM (SELECT *, row_number() OVER (PARTITION BY split, subset, official_tsf_cell ORDER BY {_hashed(7)}, physical_window_id) AS r FROM w) ORDER BY r > 3, {_hashed(7)}, physical_window_id LIMIT 100", "w")
 def latency_sample(spark, d):
     return sampling.latency_sample(D.registry(spark, d), STRATA, 100, 7).select(WINDOW, *STRATA)
 
