@@ -488,6 +488,51 @@ def cluster_semantics(spark, d):
     return codebook.semantics(_labelled(spark, d))
 
 
+THRESHOLD = "concat_ws('_', CASE WHEN trend_strength > 0.05 THEN 'highT' ELSE 'lowT' END, CASE WHEN seasonality_strength > 0.05 THEN 'highS' ELSE 'lowS' END, CASE WHEN forecastability > 0.05 THEN 'highF' ELSE 'lowF' END)"
+
+
+@query(f"SELECT subset, item_id, {THRESHOLD} AS tsf_cell_stl, {MEDIAN} AS tsf_cell_proxy, {THRESHOLD} = {MEDIAN} AS same_cell FROM i", "i")
+def labelling_comparison(spark, d):
+    both = quality.compare(quality.threshold_cells(_items(spark, d), 0.05), quality.median_cells(_items(spark, d)))
+    return both.select("subset", "item_id", "tsf_cell_stl", "tsf_cell_proxy", "same_cell")
+
+
+@query(f"SELECT official_tsf_cell, {', '.join(f"count(*) FILTER (tsf_cell = '{c}') AS {c}" for c in quality.CELLS)} FROM cm GROUP BY ALL", "i n book", COMPARED)
+def confusion_matrix(spark, d):
+    return codebook.confusion_matrix(_compared(spark, d))
+
+
+@query(f"SELECT subset, item_id, {THRESHOLD} AS tsf_cell, n.cluster AS official_cluster_code, 3 AS channels, true AS complete FROM i JOIN n USING (subset, item_id)", "i n")
+def item_channel_mean(spark, d):
+    q = _channel_quality(spark, d).withColumns({"trend_strength": F.round("trend_strength", 6), "seasonality_strength": F.round("seasonality_strength", 6), "forecastability": F.col("eff_length") / 100})
+    code = D.panel(spark, d).select("subset", "item_id", "cluster").distinct()
+    out = quality.item_channel_mean(q.join(code, ["subset", "item_id"]), len(D.CHANNELS), 0.05)
+    return out.select("subset", "item_id", "tsf_cell", "official_cluster_code", "channels", "complete")
+
+
+# ---- caches and outside forecasts ----
+
+
+@query("SELECT physical_window_id, expert_id, round(mse, 6) AS mse FROM er WHERE expert_id IN ('last_value', 'recent_mean')", "er")
+def union_caches(spark, d):
+    e = _errors(spark, d)
+    both = oracle.union_caches([e.filter("expert_id IN ('last_value', 'linear_trend')"), e.filter("expert_id IN ('recent_mean', 'seasonal_naive')").drop("mae")], ["last_value", "recent_mean"])
+    return both.select(WINDOW, "expert_id", r6("mse"))
+
+
+@query("SELECT physical_window_id, 'outside' AS expert_id, round(mse, 6) AS mse, round(mae, 6) AS mae FROM er WHERE expert_id = 'last_value'", "er")
+def ingested_errors(spark, d):
+    """The last value's forecasts come in as those of an outside model."""
+    w = D.windows(spark, d)
+    outside = experts.predictions(w, ["last_value"]).select(WINDOW, "yhat")
+    return experts.errors(experts.ingest_predictions(D.registry(spark, d), outside, "outside"), w).select(WINDOW, "expert_id", r6("mse"), r6("mae"))
+
+
+@query("SELECT physical_window_id, split FROM w WHERE split != 'train' UNION ALL (SELECT physical_window_id, split FROM w WHERE split = 'train' ORDER BY physical_window_id LIMIT 200)", "w")
+def train_cap(spark, d):
+    return experts.train_cap(D.registry(spark, d), 200, [WINDOW]).select(WINDOW, "split")
+
+
 # ---- features, views, samples ----
 
 

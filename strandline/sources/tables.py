@@ -155,8 +155,12 @@ def best_trial(results: DataFrame, metric: str = "best_metric") -> DataFrame:
     return results.filter(F.col(metric).isNotNull()).orderBy(metric).limit(1)
 
 
+def found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, the oldest first by modification time."""
+    fs, p = _path(spark, pattern)
+    return [path for _, path in sorted((s.getModificationTime(), s.getPath().toString()) for s in (fs.globStatus(p) or []))]
+
+
 def latest(spark: SparkSession, pattern: str) -> str | None:
     """The newest path that matches, by modification time."""
-    fs, p = _path(spark, pattern)
-    found = [(s.getModificationTime(), s.getPath().toString()) for s in (fs.globStatus(p) or [])]
-    return max(found)[1] if found else None
+    return (found(spark, pattern) or [None])[-1]
