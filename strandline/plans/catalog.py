@@ -238,14 +238,17 @@ def global_scaler(spark, d):
     f"""SELECT physical_window_id, expert_id, round(m, 6) AS mse, round(a, 6) AS mae, CAST(row_number() OVER (PARTITION BY physical_window_id ORDER BY round(m, 9), o) AS INT) AS rank_in_window
   FROM (SELECT physical_window_id, expert_id, o, list_sum([(ty[i + 1] - py[i + 1]) * (ty[i + 1] - py[i + 1]) for i in range({P})]) / {P} AS m, list_sum([abs(ty[i + 1] - py[i + 1]) for i in range({P})]) / {P} AS a FROM ne)""",
     "s b p",
-    """sc AS (SELECT subset, item_id, channel, avg(x) AS sm, stddev_pop(x) + 1e-8 AS ss FROM (SELECT s.subset, s.item_id, s.channel, unnest(s.vals[1 : b.e]) AS x FROM s JOIN b ON b.subset = s.subset AND b.item_id = s.item_id AND b.split = 'train') GROUP BY ALL),
+    """sc AS (SELECT subset, item_id, channel, round(avg(x), 9) AS sm, round(stddev_pop(x) + 1e-8, 9) AS ss FROM (SELECT s.subset, s.item_id, s.channel, unnest(s.vals[1 : b.e]) AS x FROM s JOIN b ON b.subset = s.subset AND b.item_id = s.item_id AND b.split = 'train') GROUP BY ALL),
 ne AS (SELECT p.physical_window_id, p.expert_id, p.o, [CAST((CAST(x AS FLOAT) - CAST(sm AS FLOAT)) / CAST(ss AS FLOAT) AS DOUBLE) for x in target] AS ty, [CAST((CAST(x AS FLOAT) - CAST(sm AS FLOAT)) / CAST(ss AS FLOAT) AS DOUBLE) for x in yhat] AS py FROM p JOIN sc USING (subset, item_id, channel))""",
 )
 def normalized_errors(spark, d):
+    """Scalers to 9 digits, finer than single precision, so that sums in another order round to the same single."""
     w = D.windows(spark, d)
     train = panel.split_lengths(D.panel(spark, d), D.CUTOFF).filter("split = 'train'").select("subset", "item_id", F.col("split_length").alias("train_length"))
-    out = experts.normalized_errors(experts.predictions(w), w, experts.train_scalers(D.series(spark, d), train))
-    return experts.ranked(out.withColumn("mse", F.round("mse", 9))).select(WINDOW, "expert_id", r6("mse"), r6("mae"), "rank_in_window")
+    scalers = experts.train_scalers(D.series(spark, d), train).withColumns({c: F.round(c, 9) for c in ("scaler_mean", "scaler_std")})
+    out = experts.normalized_errors(experts.predictions(w), w, scalers)
+    out = experts.ranked(out.withColumn("stated", r6("mse")).withColumn("mse", F.round("mse", 9)))
+    return out.select(WINDOW, "expert_id", F.col("stated").alias("mse"), r6("mae"), "rank_in_window")
 
 
 # ---- summaries ----
