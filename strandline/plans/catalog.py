@@ -367,10 +367,13 @@ def _channel_quality(spark, d) -> DataFrame:
     return quality.quality(D.series(spark, d), D.PERIODS.column(), 2048)
 
 
+def _rounded_quality(spark, d) -> DataFrame:
+    """Channels' measures to 6 digits, so that sums in another order meet the same medians and thresholds."""
+    return _channel_quality(spark, d).withColumns({m: F.round(m, 6) for m in quality.METRICS})
+
+
 def _items(spark, d) -> DataFrame:
-    """Items with measures rounded as in SQL; a length share stands for forecastability, which SQL does not express."""
-    q = _channel_quality(spark, d).withColumns({"trend_strength": F.round("trend_strength", 6), "seasonality_strength": F.round("seasonality_strength", 6), "forecastability": F.col("eff_length") / 100})
-    return quality.item_quality(q)
+    return quality.item_quality(_rounded_quality(spark, d))
 
 
 @query("SELECT subset, item_id, channel, CAST(eff_length AS INT) AS eff_length, trend_strength, seasonality_strength FROM qs", "qs")
@@ -507,7 +510,7 @@ def confusion_matrix(spark, d):
 
 @query(f"SELECT subset, item_id, {THRESHOLD} AS tsf_cell, n.cluster AS official_cluster_code, 3 AS channels, true AS complete FROM i JOIN n USING (subset, item_id)", "i n")
 def item_channel_mean(spark, d):
-    q = _channel_quality(spark, d).withColumns({"trend_strength": F.round("trend_strength", 6), "seasonality_strength": F.round("seasonality_strength", 6), "forecastability": F.col("eff_length") / 100})
+    q = _rounded_quality(spark, d)
     code = D.panel(spark, d).select("subset", "item_id", "cluster").distinct()
     out = quality.item_channel_mean(q.join(code, ["subset", "item_id"]), len(D.CHANNELS), 0.05)
     return out.select("subset", "item_id", "tsf_cell", "official_cluster_code", "channels", "complete")
