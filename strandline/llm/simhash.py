@@ -58,11 +58,11 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = SHINGLE, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns and ``fp``, the fingerprint as a signed 64-bit number."""
 
     def make():
-        return lambda texts: [pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))]
+        return lambda texts: [pa.array(np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64))]
 
     return map_texts(docs, "fp bigint", make, carry=carry)
 
@@ -233,16 +233,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component with all columns of docs: the smallest doc_id, of equals the least by a hash of the row."""
+def keep_first(docs: DataFrame, size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """One row of each component with all columns of docs: the smallest doc_id, of equals the least by a hash of the row.
+
+    With ``similarity``, pairs link whose sets of shingles of ``size`` words have at least that Jaccard similarity;
+    without it, pairs whose fingerprints are within the limit of bits.
+    """
     name = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.withColumnsRenamed(name)
     plain = plain.withColumn("__row", F.struct(F.xxhash64(*name.values()).alias("a"), F.xxhash64(F.lit(1), *name.values()).alias("b")))
     key = F.struct(F.col(name["doc_id"]).isNull().alias("none"), F.col(name["doc_id"]).alias("id"), F.col("__row").alias("row"))
-    marked = cut(fingerprints(plain.select(key.alias("at"), F.col(name["text"]).alias("text")), carry=("at",)))
-    firsts = components(marked, "at").select(F.col("first.row").alias("__row")).distinct()
     from pyspark.sql import Window
 
+    from strandline.llm import minhash
+
+    texts = plain.select(key.alias("at"), F.col(name["text"]).alias("text"))
+    if similarity is None:
+        found = components(cut(fingerprints(texts, size, carry=("at",))), "at")
+    else:
+        found = minhash.firsts(texts, size, similarity)
+    firsts = found.select(F.col("first.row").alias("__row")).distinct()
+
     nth = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
     kept = plain.join(firsts, "__row").withColumn("__nth", nth).filter("__nth = 1")
     return kept.select(*[F.col(v).alias(k) for k, v in name.items()])
