@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,9 +16,12 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: A source is taken at most so many times.
 MOST_PASSES = 3
 
-#: Slots of a schedule; a block has so many words that the corpus fills them.
+#: Slots of a schedule for its larger sources; a block has so many words that the corpus fills them.
 SLOTS = 1_000_000
 
+#: A source has so many blocks at least, or one for each word.
+LEAST_BLOCKS = 1000
+
 #: Documents that one ordered run of a source holds on average.
 ROWS_PER_RUN = 256
 
@@ -61,13 +65,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
 
 
 def schedule(targets: DataFrame, slots: int) -> DataFrame:
-    """(slot, source, rank): slot i goes to the source whose share holds the i-th golden-ratio point.
+    """(slot, source, rank) from (source, points): slot i goes to the source whose share of points holds the i-th golden-ratio point.
 
     rank counts a source's slots from 0. It is computed over runs of slots, in parallel.
     """
     one = Window.partitionBy(F.lit(0))
     by = one.orderBy(F.col("source").asc_nulls_last())
-    share = targets.filter("target > 0").withColumn("hi", F.sum("target").over(by) / F.sum("target").over(one))
+    share = targets.filter("points > 0").withColumn("hi", F.sum("points").over(by) / F.sum("points").over(one))
     share = share.select("source", F.lag("hi", 1, 0.0).over(by).alias("lo"), F.when(F.lead("hi").over(by).isNull(), 1.0).otherwise(F.col("hi")).alias("hi"))
     # shares meet points in cells of [0, 1), so that the join is on equal cells and holds for many sources
     cells = share.withColumn("cell", F.explode(F.sequence((F.col("lo") * CELLS).cast("int"), F.least((F.col("hi") * CELLS).cast("int"), F.lit(CELLS - 1)))))
@@ -90,8 +94,8 @@ def by_source(targets: DataFrame) -> DataFrame:
     return F.broadcast(targets) if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else targets
 
 
-def segments(docs: DataFrame, block: int, order: Sequence[str]) -> DataFrame:
-    """Documents of (source, size, ...) laid end to end in a shuffled order of each source and cut into blocks.
+def segments(docs: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Documents of (source, size, width, ...) laid end to end in a shuffled order of each source and cut into blocks of ``width`` words.
 
     Adds ``start`` (words of the source before the document), ``block`` and ``words`` (of this document in
     the block). The order is that of a hash of the columns ``order``, so reruns agree; ordered runs and the sums before them replace
@@ -104,43 +108,57 @@ def segments(docs: DataFrame, block: int, order: Sequence[str]) -> DataFrame:
     w = Window.partitionBy("k", "run").orderBy("h", *order)
     laid = keyed.withColumn("within", F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     laid = laid.join(starts, ["k", "run"]).withColumn("start", (F.col("before") + F.col("within")).cast("long"))
-    first, last = F.expr(f"start div {block}"), F.expr(f"greatest(start, start + size - 1) div {block}")
+    first, last = F.expr("start div width"), F.expr("greatest(start, start + size - 1) div width")
     cutup = laid.select(*cols, "start", F.explode(F.sequence(first, last)).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
+    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("width")) - F.greatest("start", F.col("block") * F.col("width"))
     return cutup.withColumn("words", words.cast("long"))
 
 
-def mix(docs: DataFrame, order: Sequence[str], weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, int]:
-    """(pieces, targets, block) for docs with (source, size, ...): pieces of documents in the mix, one row each.
+def block_sizes(targets: DataFrame, slots: int | None = None) -> DataFrame:
+    """targets with ``width``, the words of a source's blocks, ``blocks`` and ``points``, the slots that its target asks for.
+
+    Blocks have so many words that the corpus fills ``SLOTS``, but a source is cut into ``LEAST_BLOCKS`` at least, or into
+    words, and its points count its last block as what it holds, so that small sources meet their targets beside large ones.
+    With ``slots``, all sources have blocks of one size.
+    """
+    total = targets.agg(F.sum("source_size")).first()[0] or 0
+    common = F.lit(max(1, -(-total // (slots or SLOTS)))).cast("long")
+    width = common if slots else F.least(common, F.greatest(F.lit(1), F.expr(f"source_size div {LEAST_BLOCKS}")))
+    t = targets.withColumn("width", width).withColumn("blocks", F.expr("(source_size + width - 1) div width"))
+    each = F.lit(1.0) / F.col("width") if slots else F.col("blocks") / F.col("source_size")
+    return t.withColumn("points", F.when(F.col("blocks") > 0, F.col("target") * each).otherwise(0.0))
+
+
+def mix(docs: DataFrame, order: Sequence[str], weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, slots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pieces, targets) for docs with (source, size, ...): pieces of documents in the mix, one row each.
 
     ``order`` names the columns whose hash shuffles a source; rows that agree in them are interchangeable.
 
-    A piece has the columns of docs, ``start``, ``block``, ``words``, ``slot`` (its place in the mix) and ``turn``
-    (0 for the first time that its block is taken). The r-th slot of a source takes its block r modulo
-    its blocks, so takes are as even as can be; a source's slots stop at ``most`` whole turns.
+    A piece has the columns of docs, ``width``, ``start``, ``block``, ``words``, ``slot`` (its place in the mix) and
+    ``turn`` (0 for the first time that its block is taken). The r-th slot of a source takes its block r modulo
+    its blocks, so takes are as even as can be; a source's slots stop at ``most`` whole turns. ``slots`` is as in ``block_sizes``.
     """
     docs = cut(docs)
-    targets = cut(source_targets(docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, most))
-    total = targets.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, -(-total // slots))
-    n = -(-total // block)
-    pieces = segments(docs, block, order)
+    targets = source_targets(docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, most)
+    targets = cut(block_sizes(cut(targets), slots))
+    n = math.ceil(round(targets.agg(F.sum("points")).first()[0] or 0.0, 6))
+    sizes = by_source(targets.select(F.struct("source").alias("k"), "width"))
+    pieces = segments(docs.withColumn("k", F.struct("source")).join(sizes, "k").drop("k"), order)
     plan = schedule(targets, n).withColumn("k", F.struct("source"))
-    blocks = targets.select(F.struct("source").alias("k"), F.expr(f"(source_size + {block - 1}) div {block}").alias("blocks"))
-    plan = plan.join(by_source(blocks), "k").filter(F.col("rank") < F.col("blocks") * most)
+    plan = plan.join(by_source(targets.select(F.struct("source").alias("k"), "blocks")), "k").filter(F.col("rank") < F.col("blocks") * most)
     plan = plan.select("k", "slot", F.expr("rank % blocks").alias("block"), F.expr("rank div blocks").cast("int").alias("turn"))
     taken = pieces.withColumn("k", F.struct("source")).join(plan, ["k", "block"]).drop("k")
-    return taken, targets, block
+    return taken, targets
 
 
-def mix_report(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, slots: int = SLOTS) -> DataFrame:
+def mix_report(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, slots: int | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of documents.
 
     Null or empty texts have size 0 and are taken 0 times; null sources form one source, ordered last;
     repeated rows each get a result; other columns are ignored; no rows give no rows.
     """
     slim = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.crc32("text").alias("crc"), F.monotonically_increasing_id().alias("row")))
-    taken, targets, _ = mix(slim, ["doc_id", "source", "size", "crc"], weights, most, slots)
+    taken, targets = mix(slim, ["doc_id", "source", "size", "crc"], weights, most, slots)
     words = taken.groupBy("row").agg(F.sum("words").alias("taken"))
     known = by_source(targets.select(F.struct("source").alias("k"), "source_size", "target"))
     return (
@@ -151,7 +169,7 @@ def mix_report(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int =
     )
 
 
-def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, slots: int = SLOTS) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, slots: int | None = None) -> DataFrame:
     """The mix in whole documents, with the columns of docs: a document comes once for each take of its first word.
 
     A document without words goes with the block at whose start or inside which it lies.
@@ -164,8 +182,8 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int
     )
     slim = keyed.groupBy("source", "size", "row").agg(F.count("*").cast("int").alias("rows"))
     slim = cut(slim.select("source", "size", "row", "rows", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy")))
-    taken, _, block = mix(slim, ["source", "size", "row", "copy"], weights, most, slots)
-    takes = taken.filter(F.col("block") == F.expr(f"start div {block}")).groupBy("row", "rows").agg(F.count("*").alias("takes"))
+    taken, _ = mix(slim, ["source", "size", "row", "copy"], weights, most, slots)
+    takes = taken.filter(F.col("block") == F.expr("start div width")).groupBy("row", "rows").agg(F.count("*").alias("takes"))
     # repeated rows share their takes evenly; ordering by the join key asks for no further sort
     nth = F.row_number().over(Window.partitionBy("row").orderBy("row"))
     out = keyed.select("doc", "row").join(takes, "row").withColumn("nth", nth)
