@@ -4,7 +4,8 @@ The standard library's streaming parser turns a page into lines, one for each bl
 characters and tags of each. Containers that say what they are (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts, styles) are left out. Of the other lines, smoothed text-to-tag ratios
 above a threshold are content; the regions with content are selected: the articles of the page that hold
-any, or, without such an element, from the first to the last content line of each container of the body.
+any, or, without such an element, from the first to the last content line of each container of the body. Lists,
+tables and headings belong to the container around them, and one that holds a content line is selected whole.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that are parts of the container around them.
+PART = frozenset("address blockquote caption dl figcaption figure h1 h2 h3 h4 h5 h6 hgroup ol pre summary table tbody tfoot thead ul".split())
 #: Words in class, id or role that mark a container as no part of the article.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus "
@@ -54,11 +57,11 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Lines of a page as (text, tags since the line before, number of the enclosing article or 0, container)."""
+    """Lines of a page as (text, tags since the line before, number of the enclosing article or 0, container, list or table or other part or 0)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.open: list[tuple[str, bool, int, int]] = []  # name, left out, region, number
         self.text: list[str] = []
         self.tags = self.seen = 0
@@ -66,8 +69,17 @@ class Lines(HTMLParser):
     def end_line(self):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            region, box = next(((r, n) for name, _, r, n in reversed(self.open) if name in BLOCK and name not in LOOSE), (0, 0))
-            self.lines.append((text, self.tags, region, box))
+            region = box = part = 0
+            found = False
+            for name, _, r, n in reversed(self.open):
+                if name in PART:  # the outermost inside a cell, or the table of the cell
+                    part = part if found else n
+                elif name in ("td", "th"):
+                    found = part > 0
+                elif name in BLOCK and name not in LOOSE:
+                    region, box = r, n
+                    break
+            self.lines.append((text, self.tags, region, box, part))
             self.tags = 0
         self.text = []
 
@@ -117,14 +129,14 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
-def ratios(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
+def ratios(lines: list[tuple[str, int, int, int, int]]) -> np.ndarray:
     """Characters over tags of each line, at least one tag, smoothed by a Gaussian over neighbouring lines."""
-    r = np.array([len(t) / max(1, n) for t, n, _, _ in lines])
+    r = np.array([len(t) / max(1, n) for t, n, *_ in lines])
     k = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
     return np.convolve(r, k)[REACH:-REACH] / np.convolve(np.ones(len(r)), k)[REACH:-REACH]
 
 
-def content(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
+def content(lines: list[tuple[str, int, int, int, int]]) -> np.ndarray:
     """True for lines whose smoothed ratio reaches the threshold: half the mean, at most the standard deviation."""
     smooth = ratios(lines)
     return smooth >= min(max(smooth.std(), 1e-9), smooth.mean() / 2)
@@ -144,11 +156,13 @@ def main_text(html: str | None) -> str:
     good = content(lines)
     regions = {lines[i][2] for i in np.flatnonzero(good)} - {0}
     if regions:
-        return "\n".join(t for t, _, r, _ in lines if r in regions)
+        return "\n".join(t for t, _, r, *_ in lines if r in regions)
+    whole = {lines[i][3:] for i in np.flatnonzero(good) if lines[i][4]}
     span: dict[int, list[int]] = {}
-    for i in np.flatnonzero(good):
-        span.setdefault(lines[i][3], [int(i), int(i)])[1] = int(i)
-    return "\n".join(t for i, (t, _, _, box) in enumerate(lines) if box in span and span[box][0] <= i <= span[box][1])
+    for i, line in enumerate(lines):
+        if good[i] or line[3:] in whole:
+            span.setdefault(line[3], [i, i])[1] = i
+    return "\n".join(t for i, (t, _, _, box, _) in enumerate(lines) if box in span and span[box][0] <= i <= span[box][1])
 
 
 def extract(pages: DataFrame) -> DataFrame:
