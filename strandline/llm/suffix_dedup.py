@@ -8,8 +8,13 @@ repeat around an anchor lies in its context, the LENGTH - GRAM bytes before and
 Contexts that are equal meet as one class with a count before any bytes move. An anchor with one class needs
 no bytes at all. Of others, one context of each class is read. A suffix array (see suffix_array) over the
 contexts' words, cut in step with the anchor, finds which go on alike for as many words as a long string
-must share; exact comparison of the bytes then says which strings repeat. Anchors with very many classes are
-dealt by their strings instead, so no group lands in one task.
+must share; exact comparison of the bytes then says which strings repeat.
+
+One task compares the contexts of one group. An anchor with very many classes is dealt to several groups: one
+for each stretch of places where strings may start, and for what all strings that start there have in common.
+In a group, contexts that are alike in all that matters there stand for each other. Groups that are still large
+are dealt again; a group of a single place holds one string. So no group lands in one task, and all groups are
+compared in the same way.
 """
 
 from __future__ import annotations
@@ -34,8 +39,11 @@ WINDOW = LENGTH - GRAM + 1
 SYMBOL = 32
 SHARED = (LENGTH - SYMBOL + 1) // SYMBOL
 
-#: Classes of an anchor's contexts that one task compares.
-CLASSES = 2_000
+#: Contexts that one task compares as one group, some 10 MB of bytes and 100 MB with their suffix array.
+CONTEXTS = 16_384
+
+#: Stretches that the places of a group that is too large are parted into.
+FAN = 6
 
 _P = 0x9E3779B97F4A7C15 | 1
 
@@ -85,7 +93,7 @@ def _context(text: bytes, at: int) -> tuple[int, bytes]:
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """Of each row its key, bytes and sha256, and of its anchors the hashes, classes and places."""
+    """Of each row its key, and of its anchors the hashes, classes and places."""
 
     def make():
         from xxhash import xxh3_64_intdigest
@@ -101,56 +109,140 @@ def _anchored(docs: DataFrame) -> DataFrame:
 
         return lambda texts: list(zip(*map(one, texts), strict=True)) if texts else [[]] * 5
 
-    return map_texts(docs, "n_bytes long, sha string, h array<long>, c array<long>, at array<int>", make, carry=("doc_id", "row"))
+    return map_texts(docs, "n_bytes long, sha string, h array<long>, c array<long>, at array<int>", make, carry=("doc_id", "ra", "rb"))
+
 
+def _runs(contexts: list[tuple[bytes, int, int]]) -> dict[int, list[list[int]]]:
+    """Of each place j, in symbols from the anchor, the lists of contexts that share SHARED symbols from there on.
 
-def repeats(contexts: list[tuple[bytes, int, int]]) -> list[tuple[int, int] | None]:
-    """Of contexts (bytes, place of the anchor, count) of one anchor: the span, from the anchor, of their
-    strings that occur in another context, or in several rows of the own class; one span at most, as all
-    those strings hold the anchor."""
-    whole = {(c, a): [] for c, a, _ in contexts}
-    words: dict[bytes, int] = {}
+    Symbols that one context alone has part the contexts into stretches. Contexts with one stretch at one place
+    share a row of the suffix array over all stretches; neighbours in it that go on alike make a list.
+    """
+    names: dict[bytes, int] = {}
+    seen: list[int] = []
     cut_up = []
     for c, a, _ in contexts:
         first = -(a // SYMBOL)
-        cut_up.append((first, [c[a + SYMBOL * j : a + SYMBOL * (j + 1)] for j in range(first, (len(c) - a) // SYMBOL)]))
-    for w in sorted({w for _, ws in cut_up for w in ws}):
-        words[w] = len(contexts) + len(words)
+        ids = []
+        for at in range(a + SYMBOL * first, len(c) - SYMBOL + 1, SYMBOL):
+            w = names.setdefault(c[at : at + SYMBOL], len(names))
+            if w == len(seen):
+                seen.append(0)
+            seen[w] += 1
+            ids.append(w)
+        cut_up.append((first, ids))
+    owners: dict[tuple, list[int]] = defaultdict(list)
+    for x, (first, ids) in enumerate(cut_up):
+        begin = 0
+        for k in range(len(ids) + 1):
+            if k == len(ids) or seen[ids[k]] < 2:
+                if k - begin >= SHARED:
+                    owners[first + begin, tuple(ids[begin:k])].append(x)
+                begin = k + 1
+    found: dict[int, list[list[int]]] = defaultdict(list)
+    if not owners:
+        return found
+    ends = len(owners)
     s: list[int] = []
-    owner: list[tuple[int, int]] = []
-    for x, (first, ws) in enumerate(cut_up):
-        s += [words[w] for w in ws] + [len(contexts) - 1 - x]  # an end of its own, the last the least
-        owner += [(x, first + k) for k in range(len(ws) + 1)]
+    at: list[tuple[int, list[int]]] = []
+    for k, ((first, ids), xs) in enumerate(owners.items()):
+        s += [w + ends for w in ids]
+        s.append(ends - 1 - k)  # an end of its own, the last the least
+        at += [(j, xs) for j in range(first, first + len(ids) + 1)]
     sa = suffix_array(s)
     lcp = lcp_array(s, sa) + [0]
-    k = 0
-    while k < len(sa):
+    k, room = 0, len(s)
+    while k < room:
         e = k + 1
         while lcp[e] >= SHARED:
             e += 1
-        if e - k > 1:
+        if e == k + 1:
+            j, xs = at[sa[k]]
+            if len(xs) > 1 and sa[k] + SHARED <= room and min(s[sa[k] : sa[k] + SHARED]) >= ends:
+                found[j].append(xs)
+        else:
             alike = defaultdict(list)
             for i in sa[k:e]:
-                x, j = owner[i]
-                alike[j].append(x)
+                j, xs = at[i]
+                alike[j] += xs
             for j, xs in alike.items():
                 if len(xs) > 1:
-                    # the bytes decide: strings that start less than a symbol before this one
-                    for p in range(max(SYMBOL * (j - 1) + 1, GRAM - LENGTH), min(SYMBOL * j, 0) + 1):
-                        same = defaultdict(list)
-                        for x in xs:
-                            c, a, _ = contexts[x]
-                            if a + p >= 0 and len(c) >= a + p + LENGTH:
-                                same[c[a + p : a + p + LENGTH]].append(x)
-                        for found in same.values():
-                            if len(found) > 1:
-                                for x in found:
-                                    whole[contexts[x][:2]].append((p, p + LENGTH))
+                    found[j].append(xs)
         k = e
-    out = []
-    for c, a, n in contexts:
-        own = [(-a, len(c) - a)] if n > 1 and len(c) >= LENGTH else whole[c, a]
-        out.append((min(a for a, _ in own), max(b for _, b in own)) if own else None)
+    return found
+
+
+def _meet(contexts: list[tuple[bytes, int, int]], xs: list[int], j: int, lo: int, hi: int, known: dict[int, int], down: bool) -> None:
+    """For each of xs, which share the run from place j on, the most (``down``) or least bytes before the anchor, from
+    ``lo`` to ``hi``, from where another one of them has the same string, put into ``known``.
+
+    Contexts alike around the run stand for each other. The others go on together as long as they share what all
+    strings from ``near`` to ``far`` have in common, the preferred half first.
+    """
+    m, r = SYMBOL * j, SYMBOL * (j + SHARED)
+    alike: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
+    for x in xs:
+        c, a, _ = contexts[x]
+        alike[c[max(0, a - hi) : a + m], c[a + r : a - lo + LENGTH]].append(x)
+    alone = []
+    for group in alike.values():
+        alone.append(group[0])
+        if len(group) > 1:
+            c, a, _ = contexts[group[0]]
+            near, far = max(lo, LENGTH - len(c) + a), min(hi, a)
+            if near <= far:
+                for x in group:
+                    known.setdefault(x, far if down else near)
+    stack = [(alone, lo, hi)]
+    while stack:
+        xs, near, far = stack.pop()
+        if len(xs) < 2 or all(x in known for x in xs):
+            continue
+        same: dict[bytes, list[int]] = {}
+        for x in xs:
+            c, a, _ = contexts[x]
+            if near <= a and len(c) >= a - far + LENGTH:
+                text = c[a - near : a + m] + c[a + r : a - far + LENGTH]  # what lies between is the shared run
+                if text in same:
+                    same[text].append(x)
+                else:
+                    same[text] = [x]
+        for group in same.values():
+            if len(group) > 1:
+                if near == far:
+                    for x in group:
+                        known.setdefault(x, near)
+                else:
+                    half = (near + far) // 2
+                    low, high = (group, near, half), (group, half + 1, far)
+                    stack += [low, high] if down else [high, low]
+
+
+def repeats(contexts: list[tuple[bytes, int, int]], lo: int = 0, hi: int = LENGTH - GRAM) -> list[tuple[int, int] | None]:
+    """Of contexts (bytes, place of the anchor, count) of one anchor: the span, from the anchor, of their strings
+    that start from ``lo`` to ``hi`` bytes before it and occur in another context, or in several rows of the own
+    class; one span at most, as all those strings hold the anchor.
+
+    The suffix array says which contexts share whole symbols. Of those, the bytes decide: the first and the last
+    string of each context that another one has at the same place from the anchor.
+    """
+    runs = _runs(contexts)
+    begin: dict[int, int] = {}
+    end: dict[int, int] = {}
+    for known, places, down in ((begin, sorted(runs), True), (end, sorted(runs, reverse=True), False)):
+        for j in places:
+            # strings that start less than a symbol before place j
+            near, far = max(-SYMBOL * j, lo), min(SYMBOL - 1 - SYMBOL * j, hi)
+            for xs in runs[j]:
+                if near <= far and not all(x in known for x in xs):
+                    _meet(contexts, xs, j, near, far, known, down)
+    out: list[tuple[int, int] | None] = []
+    for x, (c, a, n) in enumerate(contexts):
+        far, near = min(hi, a), max(lo, LENGTH - len(c) + a)
+        if n > 1 and near <= far:
+            out.append((-far, LENGTH - near))
+        else:
+            out.append((-begin[x], LENGTH - end[x]) if x in begin else None)
     return out
 
 
@@ -165,123 +257,136 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _compare(batches):
-    """Spans of classes from rows (h, c, n, ctx, a) sorted by h."""
+    """Spans of classes from rows (h, lo, hi, shared, c, n, ctx, a) sorted by the first four and c; a class that comes twice counts once."""
     group: list[tuple] = []
 
     def done():
         if len(group) > 1:
-            spans = repeats([(r[3], r[4], r[2]) for r in group])
-            rows = [(r[0], r[1], *x) for r, x in zip(group, spans, strict=True) if x]
+            spans = repeats([(r[6], r[7], r[5]) for r in group], *group[0][1:3])
+            rows = [(r[0], r[4], *x) for r, x in zip(group, spans, strict=True) if x]
             if rows:
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "c", "a", "b"])
 
     for b in batches:
         for row in zip(*[col.to_pylist() for col in b.columns], strict=True):
-            if group and row[0] != group[0][0]:
+            if group and row[:4] != group[0][:4]:
                 yield from done()
                 group = []
-            group.append(row)
+            if not group or row[4] != group[-1][4]:
+                group.append(row)
     yield from done()
 
 
-def _blocks(batches):
-    """Runs of SHARED whole symbols of the contexts (h, c, n, ctx, a), as (h, c, j, hash)."""
-    from xxhash import xxh3_64_intdigest
+def _dealt(batches):
+    """(h, c, n, lo, hi, shared, own, a, b) from (h, c, n, ctx, a, lo, hi): for each stretch of places lo to hi before the anchor
+    that has room for a string, a digest of what its strings have in common, one of all that they hold, and where that lies."""
+    from xxhash import xxh3_128_digest
 
-    for b in batches:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+    names = ["h", "c", "n", "lo", "hi", "shared", "own", "a", "b"]
+    for batch in batches:
         out = []
-        for h, c, _, ctx, a in zip(*[col.to_pylist() for col in b.columns], strict=True):
-            for j in range(-(a // SYMBOL), 1):
-                run = ctx[a + SYMBOL * j : a + SYMBOL * (j + SHARED)]
-                if len(run) == SYMBOL * SHARED:
-                    out.append((h, c, j, xxh3_64_intdigest(run) - (1 << 63)))
-        if out:
-            cols = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["h", "c", "j", "d"])
-
-
-def _strings(batches):
-    """Strings of the contexts of (h, c, n, ctx, a, js) that start less than a symbol before a run js, as (h, c, n, p, hash)."""
-    from xxhash import xxh3_64_intdigest
-
-    for b in batches:
-        for h, c, n, ctx, a, js in zip(*[col.to_pylist() for col in b.columns], strict=True):
-            ps = sorted({p for j in js for p in range(max(SYMBOL * (j - 1) + 1, GRAM - LENGTH, -a), min(SYMBOL * j, 0, len(ctx) - a - LENGTH) + 1)})
-            d = [xxh3_64_intdigest(ctx[a + p : a + p + LENGTH]) - (1 << 63) for p in ps]
-            m = len(d)
-            if m:
-                yield pa.RecordBatch.from_pydict(
-                    {"h": pa.array([h] * m, pa.int64()), "c": pa.array([c] * m, pa.int64()), "n": pa.array([n] * m, pa.int64()), "p": pa.array(ps, pa.int32()), "d": pa.array(d, pa.int64())}
-                )
+        for h, c, n, ctx, a, lo, hi in zip(*[col.to_pylist() for col in batch.columns], strict=True):
+            step = -(-(hi - lo + 1) // FAN)
+            for near in range(lo, hi + 1, step):
+                far = min(near + step - 1, hi)
+                first, last = max(near, LENGTH - len(ctx) + a), min(far, a)
+                if first <= last:
+                    # strings of a context that ends early start in fewer places: those share more than they must
+                    text = ctx[a - last : a - first + LENGTH]
+                    shared = ctx[a - near : a - far + LENGTH]
+                    out.append((h, c, n, near, far, xxh3_128_digest(shared), xxh3_128_digest(text, far - last), -last, LENGTH - first))
+        for k in range(0, len(out), 10_000):
+            cols = zip(*out[k : k + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)], names=names)
 
 
 def class_contexts(known: DataFrame, texts: DataFrame) -> DataFrame:
     """(h, c, n, ctx, a, classes): the context of one row of each class, and the anchor's place in it.
 
-    ``known`` has (h, c, n, row, at, classes) of one row of each class, ``texts`` (row, text).
+    ``known`` has (h, c, n, ra, rb, at, classes) of one row of each class, ``texts`` (ra, rb, text). Rows that repeat
+    follow each other and are read once, but where Spark parts them for size.
     """
 
-    def read():
-        def run(batches):
-            for b in batches:
-                rows = []
-                for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    raw = (text or "").encode()
-                    for x in wanted:
-                        lo, ctx = _context(raw, x["at"])
-                        rows.append((x["h"], x["c"], x["n"], ctx, x["at"] - lo, x["classes"]))
-                for k in range(0, len(rows), 5000):
-                    cols = zip(*rows[k : k + 5000], strict=True)
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)], names=["h", "c", "n", "ctx", "a", "classes"])
-
-        return run
-
-    wanted = known.groupBy("row").agg(F.collect_list(F.struct("h", "c", "n", "at", "classes")).alias("wanted"))
-    return texts.join(wanted, "row").select("text", "wanted").mapInArrow(read(), "h long, c long, n long, ctx binary, a int, classes long")
+    def run(batches):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
+        before = None
+        for b in batches:
+            rows = []
+            for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if key == before:
+                    continue
+                before = key
+                raw = (b.column(2)[i].as_py() or "").encode()
+                for x in b.column(3)[i].as_py():
+                    lo, ctx = _context(raw, x["at"])
+                    rows.append((x["h"], x["c"], x["n"], ctx, x["at"] - lo, x["classes"]))
+            for k in range(0, len(rows), 5000):
+                cols = zip(*rows[k : k + 5000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)], names=["h", "c", "n", "ctx", "a", "classes"])
+
+    wanted = known.groupBy("ra", "rb").agg(F.collect_list(F.struct("h", "c", "n", "at", "classes")).alias("wanted"))
+    return texts.join(wanted, ["ra", "rb"]).select("ra", "rb", "text", "wanted").mapInArrow(run, "h long, c long, n long, ctx binary, a int, classes long")
 
 
 def class_spans(contexts: DataFrame) -> DataFrame:
-    """(h, c, a, b): what repeats around the anchors with several classes."""
-    few, many = contexts.filter(F.col("classes") <= CLASSES).drop("classes"), contexts.filter(F.col("classes") > CLASSES).drop("classes")
-    compared = few.repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "h long, c long, a int, b int")
-    # anchors with very many classes: first runs of symbols, then strings around the runs that repeat, meet by hash
-    blocks = many.mapInArrow(_blocks, "h long, c long, j int, d long")
-    alike = blocks.groupBy("h", "j", "d").agg(F.count("*").alias("t")).filter("t > 1").drop("t")
-    live = blocks.join(alike, ["h", "j", "d"]).groupBy("h", "c").agg(F.collect_set("j").alias("js"))
-    strings = many.join(live, ["h", "c"]).select("h", "c", "n", "ctx", "a", "js").mapInArrow(_strings, "h long, c long, n long, p int, d long")
-    again = strings.groupBy("h", "p", "d").agg(F.sum("n").alias("t")).filter("t > 1").drop("t")
-    dealt = strings.drop("n").join(again, ["h", "p", "d"]).groupBy("h", "c").agg(F.min("p").alias("a"), (F.max("p") + LENGTH).cast("int").alias("b"))
-    own = many.filter((F.col("n") > 1) & (F.octet_length("ctx") >= LENGTH)).select("h", "c", (-F.col("a")).alias("a"), (F.octet_length("ctx") - F.col("a")).alias("b"))
-    return compared.unionByName(dealt).unionByName(own)
+    """(h, c, a, b): what repeats around the anchors with several classes; a class may have several spans that overlap."""
+    group = ["h", "lo", "hi", "shared"]
+    cols = [*group, "c", "n", "ctx", "a"]
+    whole = contexts.select("h", F.lit(0).alias("lo"), F.lit(LENGTH - GRAM).alias("hi"), F.lit(b"").alias("shared"), "c", "n", "ctx", "a", "classes")
+    ready = whole.filter(F.col("classes") <= CONTEXTS).select(*cols)
+    large = whole.filter(F.col("classes") > CONTEXTS)
+    texts = None
+    own = contexts.filter((F.col("classes") > CONTEXTS) & (F.col("n") > 1) & (F.octet_length("ctx") >= LENGTH))
+    found = own.select("h", "c", (-F.col("a")).alias("a"), (F.octet_length("ctx") - F.col("a")).cast("int").alias("b"))
+    while not large.isEmpty():
+        if texts is None:  # counts of classes are added up from here on: a row that was read twice must not count twice
+            large = cut(large.dropDuplicates(["h", "c"]))
+            texts = large.select("h", "c", "ctx", "a")
+        rows = cut(large.select("h", "c", "n", "ctx", "a", "lo", "hi").mapInArrow(_dealt, "h long, c long, n long, lo int, hi int, shared binary, own binary, a int, b int"))
+        alike = rows.groupBy(*group, "own").agg(F.sum("n").alias("n"), F.min("c").alias("c"))
+        several = rows.join(alike.filter("n > 1").select(*group, "own"), [*group, "own"])
+        found = found.unionByName(several.select("h", "c", "a", "b"))
+        groups = alike.groupBy(*group).agg(F.count("*").alias("classes")).filter("classes > 1")
+        left = alike.join(groups, group).select(*group, "c", "n", "classes").join(texts, ["h", "c"])
+        left = cut(left.select(*cols, "classes"))
+        ready = ready.unionByName(left.filter(F.col("classes") <= CONTEXTS).select(*cols))
+        large = left.filter(F.col("classes") > CONTEXTS)
+    compared = ready.repartition(*group).sortWithinPartitions(*group, "c").mapInArrow(_compare, "h long, c long, a int, b int")
+    return compared.unionByName(found)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of documents.
 
     Texts are UTF-8 bytes, null is empty; a text under 400 bytes keeps all. A text that is there twice, in
-    rows that repeat or not, loses every byte in both. Other columns are ignored; no rows give no rows.
+    rows that repeat or not, loses every byte in both. Very long texts are read whole. Other columns are
+    ignored; no rows give no rows. Rows are told apart, and equal contexts of an anchor put together, by
+    128 bits of hashes of their whole bytes.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    row = F.struct(F.xxhash64("doc_id", text).alias("a"), F.xxhash64(F.lit(1), "doc_id", text).alias("b"))
-    keyed = docs.select("doc_id", text.alias("text"), row.alias("row"))
+    key = ["ra", "rb"]
+    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("ra"), F.xxhash64(F.lit(1), "doc_id", text).alias("rb"))
     found = cut(_anchored(keyed))
-    occ = found.select("row", "n_bytes", F.inline(F.arrays_zip("h", "c", "at")))
+    occ = found.select(*key, "n_bytes", F.inline(F.arrays_zip("h", "c", "at")))
     tail = F.least(F.col("n_bytes") - F.col("at"), F.lit(LENGTH)).cast("int")
-    classes = occ.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", tail.alias("tail"))).alias("first"))
+    # one row of each class, by least values of numbers: these are hashed, not sorted, and all come from one row
+    one = F.xxhash64("ra", "rb", "at")
+    classes = occ.groupBy("h", "c").agg(F.count("*").alias("n"), *[F.min_by(x, one).alias(name) for x, name in (("ra", "ra"), ("rb", "rb"), ("at", "at"), (tail, "tail"))])
     sums = classes.groupBy("h").agg(F.count("*").alias("classes"), F.sum("n").alias("rows")).filter("rows > 1")
-    known = cut(classes.join(sums.select("h", "classes"), "h").select("h", "c", "n", "first.*", "classes"))
+    known = cut(classes.join(sums.select("h", "classes"), "h"))
     release(spark)
-    contexts, path = written(class_contexts(known.filter("classes > 1"), keyed.select("row", "text")))
+    contexts, path = written(class_contexts(known.filter("classes > 1"), keyed.select(*key, "text")))
     release(spark)
     alone = known.filter("classes = 1").select("h", "c", (-F.least("at", F.lit(LENGTH - GRAM))).alias("a"), F.col("tail").alias("b"))
-    spans = cut(alone.unionByName(class_spans(contexts)))
+    spans = alone.unionByName(class_spans(contexts)).groupBy("h", "c").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    spans = cut(spans)
     del known, alone
     release(spark, path)
-    marks = occ.select("row", "h", "c", "at").join(spans, ["h", "c"]).select("row", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("s"))
-    marks = cut(marks.groupBy("row").agg(F.collect_set("s").alias("marks")))
+    marks = occ.select(*key, "h", "c", "at").join(spans, ["h", "c"]).select(*key, F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("s"))
+    marks = cut(marks.groupBy(*key).agg(F.collect_set("s").alias("marks")))
     del spans
     release(spark)
 
@@ -297,9 +402,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         return lambda rows: list(zip(*map(one, rows), strict=True)) if rows else [[], [], []]
 
-    hit = keyed.select("row", "text").join(marks, "row").select("row", F.struct("text", "marks").alias("packed"))
+    hit = keyed.select(*key, "text").join(marks, key).select(*key, F.struct("text", "marks").alias("packed"))
     # repeated rows have one result: they are joined as they are, so that a hot row can be split, and meet without texts
-    removed = cut(map_texts(hit, "n_removed long, n_spans long, kept string", make, carry=("row",), text="packed")).dropDuplicates(["row"])
+    removed = cut(map_texts(hit, "n_removed long, n_spans long, kept string", make, carry=tuple(key), text="packed")).dropDuplicates(key)
     release(spark)
-    out = found.select("doc_id", "row", "n_bytes", "sha").join(removed, "row", "left")
+    out = found.select("doc_id", *key, "n_bytes", "sha").join(removed, key, "left")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))

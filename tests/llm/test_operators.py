@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strandline.llm import decontam, exact_dedup, html_extract, langid, mixing, quality, sharding, simhash, suffix_dedup, tokens
@@ -189,25 +190,64 @@ def test_suffix_array():
             assert s[sa[k] : sa[k] + n] == s[sa[k - 1] : sa[k - 1] + n] and s[sa[k] + n : sa[k] + n + 1] != s[sa[k - 1] + n : sa[k - 1] + n + 1]
 
 
-@pytest.mark.parametrize("classes", [2000, 1])
-def test_suffix_dedup(spark, docs, monkeypatch, classes):
-    monkeypatch.setattr(suffix_dedup, "CLASSES", classes)
+@pytest.mark.parametrize("contexts", [16384, 2])
+def test_suffix_dedup(spark, docs, monkeypatch, contexts):
+    """Against all 400-byte strings, with the very long text, many rows that repeat, and groups that are dealt until one place is left."""
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS", contexts)
     extra = next(r.text for r in docs.collect() if r.text and len(r.text) > 600)
-    few = docs.filter("doc_id is null or doc_id != 13").unionByName(spark.createDataFrame([(500, "before " + extra[100:550] + " after", "en", "a", 0, 1, "x"), (501, "ab" * 700, "en", "a", 0, 1, "x"), (502, "zz " + extra[90:495], "en", "a", 0, 1, "x")], KINDS))
+    rnd = random.Random(5)
+    noise = [" ".join(rnd.choice(["stone", "river", "cloud", "tree", "path"]) + str(rnd.randint(0, 9999)) for _ in range(70)) for _ in range(12)]
+    odd = [(500, "before " + extra[100:550] + " after", "en", "a", 0, 1, "x"), (501, "ab" * 700, "en", "a", 0, 1, "x"), (502, "zz " + extra[90:495], "en", "a", 0, 1, "x")]
+    odd += [(510 + i, noise[i] + extra[40 + 9 * i : 460 + 17 * i] + noise[i][::-1], "en", "a", 0, 1, "x") for i in range(12)]
+    odd += [(530, noise[0] + "copy", "en", "a", 0, 1, "x")] * 1000
+    few = docs.unionByName(spark.createDataFrame(odd, KINDS))
     texts = [(r.doc_id, (r.text or "").encode()) for r in few.collect()]
-    n = Counter(b[i : i + 400] for _, b in texts for i in range(len(b) - 399))
-    want = Counter()
-    for i, b in texts:
-        m = bytearray(len(b))
+    times = Counter(texts)
+    n = Counter()
+    for (_, b), t in times.items():
         for k in range(len(b) - 399):
-            if n[b[k : k + 400]] > 1:
-                m[k : k + 400] = b"\1" * 400
+            n[xxhash.xxh3_128_digest(b[k : k + 400])] += t
+    want = Counter()
+    for (i, b), t in times.items():
+        m, end = bytearray(len(b)), 0
+        for k in range(len(b)):
+            if k + 400 <= len(b) and n[xxhash.xxh3_128_digest(b[k : k + 400])] > 1:
+                end = k + 400
+            m[k] = k < end
         runs = sum(m[k] and not (k and m[k - 1]) for k in range(len(m)))
-        want[i, len(b), sum(m), runs, hashlib.sha256(bytes(v for v, f in zip(b, m, strict=True) if not f)).hexdigest()] += 1
+        want[i, len(b), sum(m), runs, hashlib.sha256(bytes(v for v, f in zip(b, m, strict=True) if not f)).hexdigest()] += t
+    assert max(len(b) for _, b in texts) >= 100_000 and sum(k[2] > 0 for k in want) > 10
     assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(few).collect()) == want
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeated_strings_of_contexts():
+    """The span of each context against all its strings, over all places and over stretches of them."""
+    rnd = random.Random(6)
+    for turn in range(60):
+        base = [bytes(rnd.choice(b"ab") for _ in range(620)) for _ in range(2)]
+        contexts = []
+        for _ in range(rnd.randint(2, 9)):
+            whole = bytearray(rnd.choice(base))
+            whole[200:400] = base[0][200:400]
+            for at in (rnd.randint(0, 215), rnd.randint(400, 619)):
+                whole[at] ^= rnd.choice([0, 3])
+            left = rnd.choice([200, 200, rnd.randint(0, 200)])
+            contexts.append((bytes(whole[200 - left : rnd.choice([600, 600, rnd.randint(400, 600)])]), left, rnd.choice([1, 1, 1, 2])))
+        contexts = list({c[:2]: c for c in contexts}.values())
+        lo, hi = (0, 200) if turn % 2 else sorted(rnd.sample(range(201), 2))
+        n = Counter()
+        for c, a, t in contexts:
+            for k in range(lo, min(hi, a) + 1):
+                if len(c) >= a - k + 400:
+                    n[k, c[a - k : a - k + 400]] += t
+        want = []
+        for c, a, _ in contexts:
+            ks = [k for k in range(lo, min(hi, a) + 1) if len(c) >= a - k + 400 and n[k, c[a - k : a - k + 400]] > 1]
+            want.append((-max(ks), 400 - min(ks)) if ks else None)
+        assert suffix_dedup.repeats(contexts, lo, hi) == want
+
+
 def test_token_counts(spark, docs):
     P = pytest.importorskip("public_tokenizers")
     path = str(P.path("piece_bpe_32k.model"))
