@@ -105,11 +105,11 @@ def _anchored(docs: DataFrame) -> DataFrame:
             for k, a in enumerate(at.tolist()):
                 lo, ctx = _context(raw, a)
                 c[k] = xxh3_64_intdigest(ctx, a - lo) - (1 << 63)
-            return len(raw), hashlib.sha256(raw).hexdigest(), h, c, at.astype(np.int32)
+            return len(raw), h, c, at.astype(np.int32)
 
-        return lambda texts: list(zip(*map(one, texts), strict=True)) if texts else [[]] * 5
+        return lambda texts: list(zip(*map(one, texts), strict=True)) if texts else [[]] * 4
 
-    return map_texts(docs, "n_bytes long, sha string, h array<long>, c array<long>, at array<int>", make, carry=("doc_id", "ra", "rb"))
+    return map_texts(docs, "n_bytes long, h array<long>, c array<long>, at array<int>", make, carry=("ra", "rb"))
 
 
 def _runs(contexts: list[tuple[bytes, int, int]]) -> dict[int, list[list[int]]]:
@@ -370,13 +370,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     key = ["ra", "rb"]
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("ra"), F.xxhash64(F.lit(1), "doc_id", text).alias("rb"))
     found = cut(_anchored(keyed))
-    occ = found.select(*key, "n_bytes", F.inline(F.arrays_zip("h", "c", "at")))
-    tail = F.least(F.col("n_bytes") - F.col("at"), F.lit(LENGTH)).cast("int")
+    occ = found.select(*key, F.inline(F.arrays_zip("h", "c", "at")), "n_bytes")
+    occ = occ.select(*key, "h", "c", "at", F.least(F.col("n_bytes") - F.col("at"), F.lit(LENGTH)).cast("int").alias("tail"))
+    # most anchors are there once: only the others move on. What occurs again is counted first, so that the join may part a hot anchor by size
+    again = cut(occ.groupBy("h").agg(F.count("*").alias("t")).filter("t > 1").select("h"))
+    occ = cut(occ.join(again, "h", "left_semi"))
+    del found
+    release(spark)
     # one row of each class, by least values of numbers: these are hashed, not sorted, and all come from one row
     one = F.xxhash64("ra", "rb", "at")
-    classes = occ.groupBy("h", "c").agg(F.count("*").alias("n"), *[F.min_by(x, one).alias(name) for x, name in (("ra", "ra"), ("rb", "rb"), ("at", "at"), (tail, "tail"))])
-    sums = classes.groupBy("h").agg(F.count("*").alias("classes"), F.sum("n").alias("rows")).filter("rows > 1")
-    known = cut(classes.join(sums.select("h", "classes"), "h"))
+    classes = occ.groupBy("h", "c").agg(F.count("*").alias("n"), *[F.min_by(x, one).alias(x) for x in ("ra", "rb", "at", "tail")])
+    sums = classes.groupBy("h").agg(F.count("*").alias("classes"))
+    known = cut(classes.join(sums, "h"))
     release(spark)
     contexts, path = written(class_contexts(known.filter("classes > 1"), keyed.select(*key, "text")))
     release(spark)
@@ -406,5 +411,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # repeated rows have one result: they are joined as they are, so that a hot row can be split, and meet without texts
     removed = cut(map_texts(hit, "n_removed long, n_spans long, kept string", make, carry=tuple(key), text="packed")).dropDuplicates(key)
     release(spark)
-    out = found.select("doc_id", *key, "n_bytes", "sha").join(removed, key, "left")
+    whole = keyed.select("doc_id", *key, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    out = whole.join(removed, key, "left")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
