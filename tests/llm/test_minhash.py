@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from strandline.llm import minhash, simhash
 
 KINDS = "doc_id long, text string"
@@ -13,9 +15,13 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_near_dedup_links_pairs_from_similarity(spark):
+@pytest.mark.parametrize("held", [2_000_000, 300, 5])
+def test_near_dedup_links_pairs_from_similarity(spark, monkeypatch, held):
+    """Whole groups in one task, larger groups by bands, and bands in blocks of single sets."""
     import corpus_pipeline
 
+    monkeypatch.setattr(minhash, "SHINGLES_HELD", held)
+
     rnd = random.Random(3)
     vocabulary = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
     rows = []
