@@ -72,6 +72,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+def row_key(df: DataFrame) -> Column:
+    """struct(a, b): 128 bits of hashes of a whole row, in which a null is a value like any other wherever it stands."""
+    flags = F.concat(F.lit(""), *[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in df.columns])
+    plain = [F.to_json(F.struct(f"`{f.name}`"), {"ignoreNullFields": "false"}) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{f.name}`") for f in df.schema]
+    return F.struct(F.xxhash64(flags, *plain).alias("a"), F.xxhash64(F.lit(1), flags, *plain).alias("b"))
+
+
 def map_texts(
     df: DataFrame,
     outputs: str,

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, running_offsets
+from strandline.llm.common import cut, row_key, running_offsets
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -172,20 +172,23 @@ def mix_report(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int =
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, slots: int | None = None) -> DataFrame:
     """The mix in whole documents, with the columns of docs: a document comes once for each take of its first word.
 
-    A document without words goes with the block at whose start or inside which it lies.
+    A document without words goes with the block at whose start or inside which it lies. Rows are told apart by all
+    their columns, nulls and where they stand included; rows that agree in all share their takes evenly.
     """
-    keyed = docs.select(
-        F.struct(*docs.columns).alias("doc"),
-        F.col("source"),
-        n_words(F.col("text")).alias("size"),
-        F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit(1), *docs.columns).alias("b")).alias("row"),
+    at = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.withColumnsRenamed(at)
+    keyed = plain.select(
+        F.struct(*plain.columns).alias("doc"),
+        F.col(at["source"]).alias("source"),
+        n_words(F.col(at["text"])).alias("size"),
+        row_key(plain).alias("row"),
     )
     slim = keyed.groupBy("source", "size", "row").agg(F.count("*").cast("int").alias("rows"))
     slim = cut(slim.select("source", "size", "row", "rows", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy")))
     taken, _ = mix(slim, ["source", "size", "row", "copy"], weights, most, slots)
-    takes = taken.filter(F.col("block") == F.expr("start div width")).groupBy("row", "rows").agg(F.count("*").alias("takes"))
+    takes = taken.filter(F.col("block") == F.expr("start div width")).groupBy("source", "size", "row", "rows").agg(F.count("*").alias("takes")).drop("source", "size")
     # repeated rows share their takes evenly; ordering by the join key asks for no further sort
     nth = F.row_number().over(Window.partitionBy("row").orderBy("row"))
     out = keyed.select("doc", "row").join(takes, "row").withColumn("nth", nth)
     out = out.withColumn("n", (F.expr("takes div rows") + F.when(F.col("nth") <= F.expr("takes % rows"), 1).otherwise(0)).cast("int"))
-    return out.filter("n > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc.*")
+    return out.filter("n > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*[F.col(f"doc.{v}").alias(k) for k, v in at.items()])

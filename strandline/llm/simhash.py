@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, map_texts
+from strandline.llm.common import cut, map_texts, row_key
 from strandline.llm.graph import connected_components
 
 #: Words of a shingle and bits that linked fingerprints may differ in.
@@ -241,7 +241,7 @@ def keep_first(docs: DataFrame, size: int = SHINGLE, similarity: float | None =
     """
     name = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.withColumnsRenamed(name)
-    plain = plain.withColumn("__row", F.struct(F.xxhash64(*name.values()).alias("a"), F.xxhash64(F.lit(1), *name.values()).alias("b")))
+    plain = plain.withColumn("__row", row_key(plain))
     key = F.struct(F.col(name["doc_id"]).isNull().alias("none"), F.col(name["doc_id"]).alias("id"), F.col("__row").alias("row"))
     from pyspark.sql import Window
 

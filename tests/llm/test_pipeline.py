@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandline.llm import mixing, quality
+from strandline.llm.common import row_key
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
 GOOD = "the river carried small boats past quiet villages while farmers worked in warm fields near old stone walls and children sang of summer".split()
@@ -46,11 +47,9 @@ def lowered(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def fingerprint(text):
+def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
-    shingles = [words[k : k + 4] for k in range(max(1, len(words) - 3))] if words else []
-    hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
 def key(row):
@@ -58,7 +57,7 @@ def key(row):
 
 
 def one_of_each(rows):
-    fps, up = [fingerprint(r.text) for r in rows], list(range(len(rows)))
+    sets, up = [shingles(r.text) for r in rows], list(range(len(rows)))
 
     def root(x):
         while up[x] != x:
@@ -67,7 +66,8 @@ def one_of_each(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
+            a, b = sets[i], sets[j]
+            if a == b or len(a & b) / len(a | b) >= 0.8:
                 up[root(i)] = root(j)
     groups = defaultdict(list)
     for i, r in enumerate(rows):
@@ -88,8 +88,8 @@ def mixed(spark, docs, slots=mixing.SLOTS):
     """How often each row comes in the mix, rows without words left out."""
     hashed = docs.select(
         "*",
-        F.xxhash64(*docs.columns).alias("__a"),
-        F.xxhash64(F.lit(1), *docs.columns).alias("__b"),
+        row_key(docs)["a"].alias("__a"),
+        row_key(docs)["b"].alias("__b"),
         F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("__n"),
     ).collect()
     copies, laid = Counter(), []
