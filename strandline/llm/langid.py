@@ -24,6 +24,9 @@ TRAIN_ROWS = 4_000
 
 EPOCHS = 2
 
+#: Values of lang that a model may have: they bound the table of labels and the weights, which are broadcast.
+LANGUAGES = 500
+
 #: Code points counted at a time.
 CHUNK = 1 << 20
 
@@ -37,21 +40,29 @@ def counts(text: str | None) -> np.ndarray | None:
     """Counts of the hashed n-grams of a whole text, lower-cased, with all runs of other characters as one space; None without letters."""
     if not text:
         return None
+    text = text.lower()
     total = np.zeros(FEATURES, np.int64)
     seen = False
+    before = np.array([32], np.uint64)  # the last characters counted, which the next n-grams may begin with
+    grown = 1  # how many of these are still to count as the end of an n-gram
     for at in range(0, len(text), CHUNK):
-        c = np.frombuffer(text[max(0, at - 4) : at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters()[c]
         seen = seen or bool(letter.any())
-        c = np.where(letter, c, 32)
-        c = c[letter | np.append(True, letter[:-1])].astype(np.uint64)
-        c = np.concatenate([[32], c, [32]]).astype(np.uint64) if len(text) <= CHUNK else c
+        # a run of other characters is one space, also across chunks and after the space before the text
+        keep = letter | np.append(at == 0 or before[-1] != 32, letter[:-1])
+        c = np.where(letter, c, 32)[keep].astype(np.uint64)
+        last = at + CHUNK >= len(text)
+        c = np.concatenate([before, c, np.full(int(last), 32, np.uint64)])
+        old = len(before) - grown
         h = np.zeros(len(c), np.uint64)
         for n in range(1, max(ORDERS) + 1):
             h = ((h[: len(c) - n + 1] if n > 1 else h) + c[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
-            if n in ORDERS and len(h):
-                total += np.bincount((h >> np.uint64(20)).astype(np.int64) % FEATURES, minlength=FEATURES)
+            new = h[max(0, old - n + 1) :]  # those that end after what was counted
+            if n in ORDERS and len(new):
+                total += np.bincount((new >> np.uint64(20)).astype(np.int64) % FEATURES, minlength=FEATURES)
+        before, grown = c[-max(1, max(ORDERS) - 1) :], 0
     return total if seen else None
 
 
@@ -109,7 +120,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict
     are those of all documents that may teach. Every eighth row of the sample fits the temperature and no weight.
     """
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(n) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of lang: the model would not fit")
     if not n:
         return {"labels": []}
     names = sorted(n)
@@ -149,7 +162,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict
         best = min(np.geomspace(0.5, 5, 40), key=loss) if apart else 1.0
         yield pa.RecordBatch.from_pydict({"w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "t": pa.array([float(best)])})
 
-    got = made.repartition(1).mapInArrow(fit, "w binary, t double").first()
+    # one row for each doc_id and language, from each task too: a doc_id that a third of all rows share sends no more
+    one = made.groupBy("order", "lang").agg(F.min(F.struct("ids", "tf")).alias("f")).select("order", "lang", "f.*")
+    got = one.repartition(1).mapInArrow(fit, "w binary, t double").first()
     return {"labels": names, "weights": np.frombuffer(got["w"], np.float32).reshape(FEATURES + 1, len(names)), "idf": idf, "temperature": got["t"]}
 
 
@@ -178,7 +193,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of documents.
 
     A null text, or one without a letter, is ``und`` with score 0, as is all if nothing can be learned from.
-    A null lang teaches nothing; a null doc_id is held out. Equal texts have equal predictions, repeated
+    A null lang teaches nothing; a null doc_id is held out; of several texts under one doc_id and language, one
+    teaches, and the order of rows changes nothing. Very long texts count whole. Equal texts have equal predictions, repeated
     rows each get one, other columns are never read, and no rows give no rows. Ties go to the lesser name.
     """
     out = predict(docs, train(docs.select("doc_id", "text", "lang")))
