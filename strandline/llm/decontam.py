@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -147,16 +148,20 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, table_bytes: int = TABLE_BYTES) -> list[Benchmark]:
-    """Search tables of the benchmark, read row by row into blocks of at most ``table_bytes`` of text (a longer item alone)."""
-    blocks, items, size = [], [], 0
+def benchmark_blocks(benchmark: DataFrame, table_bytes: int = TABLE_BYTES) -> Iterator[Benchmark]:
+    """Search tables of the benchmark, read row by row into blocks of at most ``table_bytes`` of text (a longer item alone).
+
+    One block at a time is held: the next is made when the one before has been sent.
+    """
+    items, size = [], 0
     for r in benchmark.select("item_id", "text").filter("text is not null").toLocalIterator():
         n = len(r.text.encode())
         if items and size + n > table_bytes:
-            blocks, items, size = [*blocks, Benchmark(items)], [], 0
+            yield Benchmark(items)
+            items, size = [], 0
         items.append((r.item_id, r.text))
         size += n
-    return [*blocks, Benchmark(items)]
+    yield Benchmark(items)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -169,6 +174,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, table_bytes: int = TABLE_BYTES)
     cols = docs.columns
     for block in benchmark_blocks(benchmark, table_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(block)
+        del block
 
         def make(sent=sent):
             def work(texts):
@@ -198,6 +204,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, table_bytes: int = TABL
 
     A null or empty text has no words. Benchmark rows without words have no windows; a null item_id is
     written ``null``; ids that repeat count once. Repeated documents each get a row, other columns are ignored.
+    Very long texts are searched whole. An empty benchmark hits nothing; no documents give no rows.
     """
     slim = docs.select("doc_id", "text")
     found = mark(slim, benchmark, table_bytes)
