@@ -64,9 +64,10 @@ def frequent_pre_tokens(docs: DataFrame, table: int = TABLE, summary: int = SUMM
         kept: Counter = Counter()
         for b in batches:
             for t in b.column(0):
-                if t := t.as_py():
-                    kept.update(x for x in pre_tokens(t) if len(x) <= LONGEST)
-                    if len(kept) > 8 * summary:
+                parts = pre_tokens(t.as_py() or "")
+                for at in range(0, len(parts), 4 * summary):  # a very long text too fills no more counters
+                    kept.update(x for x in parts[at : at + 4 * summary] if len(x) <= LONGEST)
+                    if len(kept) > 4 * summary:
                         kept = merge_summaries(kept, {}, summary)
         kept = merge_summaries(kept, {}, table)
         yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "keys": pa.array([list(kept)], pa.list_(pa.string())), "n": pa.array([list(kept.values())], pa.list_(pa.int64()))})
