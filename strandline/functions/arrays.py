@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,8 +31,8 @@ def mean(a: Column) -> Column:
 
 
 def std(a: Column) -> Column:
-    """Population standard deviation of an array without nulls."""
-    return let(a, lambda v: let(mean(v), lambda m: F.sqrt(total(F.transform(v, lambda x: (x - m) * (x - m))) / F.size(v))))
+    """Population standard deviation of an array without nulls; null for an empty one."""
+    return let(a, lambda v: let(mean(v), lambda m: F.when(F.size(v) > 0, F.sqrt(total(F.transform(v, lambda x: (x - m) * (x - m))) / F.size(v)))))
 
 
 def filled(a: Column) -> Column:
@@ -95,36 +93,6 @@ def centred(a: Column) -> Column:
     return let(a, lambda v: let(mean(v), lambda m: F.transform(v, lambda x: x - m)))
 
 
-def power(a: Column) -> Column:
-    """Squared magnitudes of the discrete Fourier transform of the centred array, without frequency 0."""
-
-    def of(c: Column) -> Column:
-        def at(k: Column) -> Column:
-            def part(f):
-                return total(F.transform(c, lambda x, i: x * f(F.lit(-2.0 * math.pi) * F.pmod(k * i, F.size(c)) / F.size(c))))
-
-            return let(part(F.cos), lambda re: re * re) + let(part(F.sin), lambda im: im * im)
-
-        return F.when(F.size(c) >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.floor(F.size(c) / 2).cast("int"), F.lit(1))), at)).otherwise(F.array().cast("array<double>"))
-
-    return let(centred(a), of)
-
-
-def spectral(a: Column, eps: float = 1e-12) -> Column:
-    """struct(entropy, dominance) of the power spectrum; the entropy is over its greatest; 0, 0 without power or for short arrays."""
-
-    def of(p: Column) -> Column:
-        def measured(s: Column) -> Column:
-            ok = (F.size(a) >= 4) & (F.size(p) >= 2) & (s > eps)
-            shares = F.transform(p, lambda x: x / s)
-            entropy = total(F.transform(shares, lambda x: -x * F.ln(x + eps))) / F.ln(F.size(p))
-            return F.struct(F.when(ok, entropy).otherwise(0.0).alias("entropy"), F.when(ok, F.array_max(shares)).otherwise(0.0).alias("dominance"))
-
-        return let(total(p), measured)
-
-    return let(power(a), of)
-
-
 def squared_error(y: Column, yhat: Column) -> Column:
     return mean(F.zip_with(y, yhat, lambda a, b: (a - b) * (a - b)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,10 +21,11 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def ensure_unique_key(df: DataFrame, keys: Sequence[str], name: str = "table") -> DataFrame:
-    found = duplicate_keys(df, keys).limit(5).collect()
-    if found:
-        raise ValueError(f"{name} repeats keys {list(keys)}: {[tuple(r) for r in found]}")
-    return df
+    """df, whose rows raise as they are read if a key comes twice. A part of the plan: nothing runs before df does."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    key = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    twice = F.raise_error(F.concat(F.lit(f"{name} repeats the key {', '.join(keys)}: "), key)).cast("boolean")
+    return df.withColumn("__n", n).filter(F.when(F.col("__n") > 1, twice).otherwise(True)).drop("__n")
 
 
 def parse_list(text: str | Sequence[str]) -> list[str]:
@@ -50,6 +51,13 @@ def single_value(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.when(F.count_distinct(column) == 1, F.min(column)).alias(column))
 
 
+def one_length(windows: DataFrame) -> DataFrame:
+    """The windows, all of one history and one forecast length: several raise."""
+    both = F.array_distinct(F.collect_set(F.struct("history_len", "pred_len")).over(Window.partitionBy("split")))
+    bad = F.raise_error(F.lit("windows of several lengths")).cast("boolean")
+    return windows.withColumn("__n", F.size(both)).filter(F.when(F.col("__n") > 1, bad).otherwise(True)).drop("__n")
+
+
 def numbered(columns: Sequence[str], prefix: str) -> list[str]:
     """Columns prefix0, prefix1, ... in the order of their numbers."""
     return sorted((c for c in columns if c.startswith(prefix) and c[len(prefix) :].isdigit()), key=lambda c: int(c[len(prefix) :]))

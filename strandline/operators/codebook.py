@@ -75,7 +75,8 @@ def candidates(items: DataFrame) -> DataFrame:
     out = named.join(s, "k").crossJoin(exact).withColumn("paper_table_count_order_match", F.col("paper_regime_order_match") & F.col("paper_item_counts_match"))
     score = 100.0 * F.col("paper_table_count_order_match").cast("double") + 10.0 * F.col("stl_item_exact_match_ratio") + 5.0 * F.col("proxy_item_exact_match_ratio")
     out = out.withColumn("evidence_score", score + F.col("stl_metric_direction_score") + 0.5 * F.col("proxy_metric_direction_score"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("paper_table_count_order_match"), F.desc("evidence_score"), F.desc("stl_item_exact_match_ratio"), "k")
+    # scores that are equal to nine digits are ties, whatever the order of their sums
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("paper_table_count_order_match"), F.desc(F.round("evidence_score", 9)), F.desc(F.round("stl_item_exact_match_ratio", 9)), "k")
     return out.withColumn("candidate_rank", F.row_number().over(w)).drop("k")
 
 
@@ -140,6 +141,27 @@ def semantics(items: DataFrame) -> DataFrame:
     return j.join(n, key).withColumn("agreeing_dimensions", dims).withColumn("semantic_name", F.col("stl_mode")).withColumn("confidence", sure)
 
 
+def semantics_with_quantiles(items: DataFrame) -> DataFrame:
+    """The semantics with items of each subset and, for every measure of both measurements, its minimum, quartiles, maximum and mean."""
+    from strandline.operators.quality import METRICS
+
+    key, values = "official_cluster_code", [f"{n}_{m}" for n in ("stl", "proxy") for m in METRICS]
+    sums, names = [], {"min": F.min, "max": F.max, "mean": F.avg}
+    for v in values:
+        x = F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double"))
+        sums += [f(x).alias(f"{v}_{n}") for n, f in names.items()]
+        sums += [F.percentile(x, F.lit(p)).alias(f"{v}_{n}") for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
+    subsets = [F.count_if(F.col("subset") == s).alias(f"{s}_items") for s in ("hour", "min")]
+    return semantics(items).join(items.groupBy(key).agg(*subsets, *sums), key)
+
+
+def item_semantics(items: DataFrame) -> DataFrame:
+    """Items with their cluster's name and confidence, and whether the two measurements, and the first and the name, agree."""
+    named = semantics(items).select("official_cluster_code", "semantic_name", "confidence")
+    out = items.join(named, "official_cluster_code", "left")
+    return out.withColumn("stl_proxy_agree", F.col("stl_tsf_cell") == F.col("proxy_tsf_cell")).withColumn("cluster_semantic_match", F.col("stl_tsf_cell") == F.col("semantic_name"))
+
+
 def move_status(manifest: DataFrame, paths: DataFrame) -> DataFrame:
     """Rows of a move manifest (old_path, new_path, ...) with the state of the move; ``paths`` lists those that exist."""
     there = paths.select("path").distinct()

@@ -5,8 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.functions.arrays import finite, let, mean, std
+from strandline.operators.checks import ensure_unique_key
+
 HEIGHT, WIDTH, CLIP = 64, 192, 5.0
 
 
@@ -43,20 +47,30 @@ def line_view(z: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, 1 - np.abs(rows - y[:, None, :] * (HEIGHT - 1)))
 
 
-def fold_view(z: np.ndarray, period: int) -> tuple[np.ndarray, int, int]:
-    """Cycles as rows, padded with zeros at the right; with the padding and the cycles."""
+def cycles_of(z: np.ndarray, period: int) -> tuple[np.ndarray, int]:
+    """Cycles as rows, padded with zeros at the right and scaled to [0, 1]; with the padding."""
     p = max(1, int(period))
     cycles = -(-z.shape[1] // p)
     pad = cycles * p - z.shape[1]
-    folded = unit(np.pad(z, ((0, 0), (0, pad))).reshape(len(z), cycles, p))
-    return resize(resize(folded, HEIGHT, 1), WIDTH, 2), pad, cycles
+    return unit(np.pad(z, ((0, 0), (0, pad))).reshape(len(z), cycles, p)), pad
 
 
-def power_view(z: np.ndarray) -> np.ndarray:
+def fold_view(z: np.ndarray, period: int) -> tuple[np.ndarray, int, int]:
+    """The cycles stretched to a picture; with the padding and the number of cycles."""
+    rows, pad = cycles_of(z, period)
+    return resize(resize(rows, HEIGHT, 1), WIDTH, 2), pad, rows.shape[1]
+
+
+def log_power(z: np.ndarray) -> np.ndarray:
+    """Logarithm of the power of each frequency, without that of frequency 0, over the greatest."""
     p = np.abs(np.fft.rfft(z - z.mean(1, keepdims=True), axis=1)) ** 2
     p[:, 0] = 0
     p = np.log1p(p)
-    p /= np.maximum(p.max(1, keepdims=True), 1e-5)
+    return p / np.maximum(p.max(1, keepdims=True), 1e-5)
+
+
+def power_view(z: np.ndarray) -> np.ndarray:
+    p = log_power(z)
     return np.clip(resize(resize(p[:, None, :], HEIGHT, 1), WIDTH, 2), 0, 1)
 
 
@@ -93,8 +107,6 @@ def _map(windows: DataFrame, kinds: str, made) -> DataFrame:
                 cols += [pa.array([r[k] for r in out], arrow.field(len(keep) + k).type) for k in range(len(fields))]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    from pyspark.sql import functions as F
-
     return windows.select(*keep, "history", F.col("period").alias("__p")).mapInArrow(run, schema)
 
 
@@ -108,25 +120,101 @@ def imageize(windows: DataFrame) -> DataFrame:
     return _map(windows, "view array<float>, norm_mean double, norm_std double, padding_length int, num_cycles int", made)
 
 
-def image_index(windows: DataFrame) -> DataFrame:
-    """What imageize says of each window, without the arrays."""
+def ink(windows: DataFrame) -> DataFrame:
+    """Windows with ``line``: of the line view, the mean row of each column, weighted by the values there."""
+    rows = np.arange(HEIGHT)[None, :, None]
 
     def made(x, period):
-        _, m, s = normalize(x)
-        p = max(1, int(period))
-        n = -(-x.shape[1] // p)
-        return [(float(m[i]), float(s[i]), n * p - x.shape[1], n) for i in range(len(x))]
+        v = line_view(normalize(x)[0])
+        return [(r,) for r in (v * rows).sum(1) / v.sum(1)]
+
+    return _map(windows, "line array<double>", made)
+
+
+def folded(windows: DataFrame) -> DataFrame:
+    """Windows with ``fold``: the cycles of the period view, row by row, before they are stretched."""
+    return _map(windows, "fold array<double>", lambda x, period: [(r.ravel(),) for r in cycles_of(normalize(x)[0], period)[0]])
 
-    return _map(windows, "norm_mean double, norm_std double, padding_length int, num_cycles int", made)
 
+def powers(windows: DataFrame) -> DataFrame:
+    """Windows with ``power``: the spectrum of the power view before it is stretched."""
+    return _map(windows, "power array<double>", lambda x, period: [(r,) for r in log_power(normalize(x)[0])])
 
-def embed(windows: DataFrame, dims: int = 32, seed: int = 0) -> DataFrame:
-    """``z``: a seeded projection of 8 x 8 block means of the views; an encoder with other weights takes its place."""
-    w = projection(dims, seed)
+
+def image_index(windows: DataFrame) -> DataFrame:
+    """What imageize says of each window, without the arrays, in the JVM."""
+    keep = [c for c in windows.columns if c not in ("history", "target")]
+    x = F.transform("history", lambda v: F.coalesce(finite(v), F.lit(0.0)))
+    m = let(x, lambda a: F.struct(mean(a).alias("m"), std(a).alias("s")))
+    p, n = F.greatest(F.col("period"), F.lit(1)), F.size("history")
+    cycles = F.ceil(n / p).cast("int")
+    out = windows.select(*keep, m.alias("__m"), (cycles * p - n).cast("int").alias("padding_length"), cycles.alias("num_cycles"))
+    return out.select(*keep, F.col("__m.m").alias("norm_mean"), F.sqrt(F.col("__m.s") * F.col("__m.s") + 1e-5).alias("norm_std"), "padding_length", "num_cycles")
+
+
+#: Channels of the two convolutions of the encoder.
+CONVOLUTIONS = (16, 32)
+
+
+def encoder_weights(dims: int, seed: int = 0, views: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Seeded, untrained (weights, biases) of two 3 x 3 convolutions and a linear layer, uniform within 1 / sqrt(inputs)."""
+    rnd, out, n = np.random.default_rng(seed), [], views
+    for m in CONVOLUTIONS:
+        bound = 1 / np.sqrt(9 * n)
+        out.append((rnd.uniform(-bound, bound, (9 * n, m)).astype(np.float32), rnd.uniform(-bound, bound, m).astype(np.float32)))
+        n = m
+    bound = 1 / np.sqrt(n)
+    return [*out, (rnd.uniform(-bound, bound, (n, dims)).astype(np.float32), rnd.uniform(-bound, bound, dims).astype(np.float32))]
+
+
+def gelu(x: np.ndarray) -> np.ndarray:
+    """x times the normal distribution's share below it, by an error function good to 1.5e-7."""
+    y = np.abs(x) * np.float32(0.7071067811865476)
+    t = 1 / (1 + np.float32(0.3275911) * y)
+    # The coefficients of the approximation 7.1.26 of Abramowitz and Stegun.
+    p = t * (np.float32(0.254829592) + t * (np.float32(-0.284496736) + t * (np.float32(1.421413741) + t * (np.float32(-1.453152027) + t * np.float32(1.061405429)))))
+    return (x * np.float32(0.5) * (1 + np.sign(x) * (1 - p * np.exp(-y * y)))).astype(np.float32)
+
+
+def convolve(x: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Rows x height x width x channels through a 3 x 3 convolution of stride 2 with a border of zeros of 1."""
+    n, h, w, c = x.shape
+    p = np.zeros((n, h + 2, w + 2, c), np.float32)
+    p[:, 1:-1, 1:-1] = x
+    ho, wo = (h + 1) // 2, (w + 1) // 2
+    patches = np.concatenate([p[:, i : i + 2 * ho - 1 : 2, j : j + 2 * wo - 1 : 2] for i in range(3) for j in range(3)], axis=3)
+    return (patches.reshape(n * ho * wo, 9 * c) @ weights + bias).reshape(n, ho, wo, -1)
+
+
+def encode(v: np.ndarray, weights: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Views (rows x views x height x width) through convolution, GELU, convolution, GELU, mean over places, linear layer."""
+    x = np.moveaxis(v, 1, 3).astype(np.float32)
+    for w, b in weights[:-1]:
+        x = gelu(convolve(x, w, b))
+    w, b = weights[-1]
+    return x.mean((1, 2)) @ w + b
+
+
+def embed(windows: DataFrame, dims: int = 32, seed: int = 0, encoder: str = "cnn") -> DataFrame:
+    """``z``: the views through a small untrained encoder with seeded weights. ``cnn`` has two strided convolutions, ``projection``
+    projects 8 x 8 block means, which is many times faster. Weights of another encoder take their place."""
+    if encoder not in ("cnn", "projection"):
+        raise ValueError(f"unknown encoder {encoder}")
+    w = projection(dims, seed) if encoder == "projection" else encoder_weights(dims, seed)
 
     def made(x, period):
         v, _ = views(x, period)
+        if encoder == "cnn":
+            return [(r,) for k in range(0, len(v), 32) for r in encode(v[k : k + 32], w)]
         small = v.reshape(len(v), 3, HEIGHT // 8, 8, WIDTH // 8, 8).mean((3, 5)).reshape(len(v), -1)
         return [(r,) for r in np.tanh(small @ w)]
 
     return _map(windows, "z array<float>", made)
+
+
+def aligned(views: DataFrame, index: DataFrame, key: str = "physical_window_id") -> DataFrame:
+    """Stored views beside their index, by key: one that is missing on either side, or that comes twice, raises."""
+    v, i = ensure_unique_key(views, [key], "views"), ensure_unique_key(index, [key], "index")
+    both = v.withColumn("__v", F.lit(1)).join(i.withColumn("__i", F.lit(1)), key, "full")
+    bad = F.raise_error(F.concat(F.when(F.col("__v").isNull(), "no view for ").otherwise("no index row for "), F.col(key))).cast("boolean")
+    return both.filter(F.when(F.col("__v").isNull() | F.col("__i").isNull(), bad).otherwise(True)).drop("__v", "__i")

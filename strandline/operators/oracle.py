@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.arrays import absolute_error, let, squared_error
 from strandline.functions.ranks import quantiles
 from strandline.operators.checks import ensure_unique_key
-from strandline.operators.experts import WINDOW
+from strandline.operators.experts import EXPERTS, WINDOW, scored
 
 
 def union_caches(tables: Sequence[DataFrame], experts: Sequence[str] | None = None) -> DataFrame:
@@ -46,6 +47,23 @@ def per_window(errors: DataFrame, by: Sequence[str] = (), temperature: float = 1
     return collected.withColumn("entropy", entropy).drop("z")
 
 
+#: Measures of a window that the audit averages, by the name of the average.
+AVERAGED = {"oracle_mse": "oracle_mse", "oracle_mae": "oracle_mae", "uniform_proxy_mse": "mean_mse", "true_uniform_mse": "uniform_mse", "true_uniform_mae": "uniform_mae", "soft_oracle_entropy": "entropy"}
+
+
+def _averages(df: DataFrame, keys: Sequence[str], by: Sequence[str], averaged: dict[str, str]) -> DataFrame:
+    """Rows and averages for the whole and for each value of each column of ``by``: rows are summed up once, by all of
+    ``by`` together, and these few sums are what is copied for each grouping."""
+    fine = df.groupBy(*by, *keys).agg(F.count("*").alias("__rows"), *[f(c).alias(f"__{k}_{n}") for n, c in averaged.items() for k, f in (("s", F.sum), ("n", F.count))])
+    g, group = _groups(fine, by)
+    sums = g.groupBy(*group, *keys).agg(F.sum("__rows").alias("__rows"), *[F.sum(f"__{k}_{n}").alias(f"__{k}_{n}") for n in averaged for k in "sn"])
+    return sums.select(*group, *keys, "__rows", *[F.try_divide(f"__s_{n}", f"__n_{n}").alias(n) for n in averaged])
+
+
+def _gaps(df: DataFrame) -> DataFrame:
+    return df.withColumn("oracle_gap", F.col("best_fixed_mse") - F.col("oracle_mse")).withColumn("gap_vs_uniform", F.col("true_uniform_mse") - F.col("oracle_mse"))
+
+
 def oracle_audit(errors: DataFrame, uniform: DataFrame | None = None, by: Sequence[str] = ("split", "subset", "official_tsf_cell"), temperature: float = 1.0) -> DataFrame:
     """One row overall and for each value of each grouping column.
 
@@ -53,27 +71,37 @@ def oracle_audit(errors: DataFrame, uniform: DataFrame | None = None, by: Sequen
     window's least mse. ``uniform`` (physical_window_id, uniform_mse, uniform_mae) adds the true ensemble.
     """
     own = [c for c in by if c in errors.columns]
-    g, keys = _groups(errors, own)
-    fixed = g.groupBy(*keys, "expert_id").agg(F.avg("mse").alias("m"), F.avg("mae").alias("a"))
-    fixed = fixed.groupBy(*keys).agg(F.min(F.struct("m", "a", "expert_id")).alias("f"))
+    keys = ["group_kind", "group_value"]
+    fixed = _averages(errors, ["expert_id"], own, {"m": "mse", "a": "mae"}).groupBy(*keys).agg(F.min(F.struct("m", "a", "expert_id")).alias("f"))
     fixed = fixed.select(*keys, F.col("f.expert_id").alias("best_fixed_expert"), F.col("f.m").alias("best_fixed_mse"), F.col("f.a").alias("best_fixed_mae"))
     w = per_window(errors, own, temperature)
     if uniform is not None:
         w = w.join(uniform.select(WINDOW, "uniform_mse", "uniform_mae"), WINDOW, "left")
     else:
         w = w.withColumns({"uniform_mse": F.lit(None).cast("double"), "uniform_mae": F.lit(None).cast("double")})
-    w, _ = _groups(w, own)
-    sums = w.groupBy(*keys).agg(
-        F.count("*").alias("windows"),
-        F.avg("oracle_mse").alias("oracle_mse"),
-        F.avg("oracle_mae").alias("oracle_mae"),
-        F.avg("mean_mse").alias("uniform_proxy_mse"),
-        F.avg("uniform_mse").alias("true_uniform_mse"),
-        F.avg("uniform_mae").alias("true_uniform_mae"),
-        F.avg("entropy").alias("soft_oracle_entropy"),
-    )
+    sums = _averages(w, [], own, AVERAGED).withColumnRenamed("__rows", "windows")
     out = sums.join(fixed.withColumnsRenamed({k: f"f_{k}" for k in keys}), F.expr(" and ".join(f"{k} <=> f_{k}" for k in keys))).drop(*[f"f_{k}" for k in keys])
-    return out.withColumn("oracle_gap", F.col("best_fixed_mse") - F.col("oracle_mse")).withColumn("gap_vs_uniform", F.col("true_uniform_mse") - F.col("oracle_mse"))
+    return _gaps(out)
+
+
+def window_audit(windows: DataFrame, experts: Sequence[str] = tuple(EXPERTS), by: Sequence[str] = ("split", "subset", "official_tsf_cell"), temperature: float = 1.0) -> DataFrame:
+    """The audit straight from windows with history and target: experts, ensemble and oracle are scored beside their window,
+    in one pass, and only sums for each value of ``by`` are shuffled."""
+    own = [c for c in by if c in windows.columns]
+    rows = scored(windows, experts)
+    z = F.transform("e", lambda x: -x["mse"] / max(temperature, 1e-8))
+    soft = let(z, lambda a: F.transform(a, lambda x: F.exp(x - F.array_max(a))))
+    share = let(soft, lambda a: let(F.greatest(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.lit(1e-8)), lambda t: F.transform(a, lambda x: x / t)))
+    entropy = F.aggregate(share, F.lit(0.0), lambda s, x: s - x * F.ln(x + 1e-8))
+    best = F.array_min(F.transform("e", lambda x: F.struct(x["mse"].alias("mse"), x["expert_id"].alias("expert_id"), x["mae"].alias("mae"))))
+    mean_mse = F.aggregate("e", F.lit(0.0), lambda s, x: s + x["mse"]) / F.size("e")
+    each = {f"__{m}{k}": F.get("e", F.lit(k))[m] for k in range(len(experts)) for m in ("mse", "mae")}
+    flat = rows.select(*own, best.alias("b"), mean_mse.alias("mean_mse"), entropy.alias("entropy"), F.col("u.mse").alias("uniform_mse"), F.col("u.mae").alias("uniform_mae"), *[c.alias(k) for k, c in each.items()])
+    flat = flat.withColumns({"oracle_mse": F.col("b.mse"), "oracle_mae": F.col("b.mae")}).drop("b")
+    sums = _averages(flat, [], own, AVERAGED | {k: k for k in each}).withColumnRenamed("__rows", "windows")
+    f = F.array_min(F.array(*[F.struct(F.col(f"__mse{k}").alias("m"), F.col(f"__mae{k}").alias("a"), F.lit(n).alias("expert_id")) for k, n in enumerate(experts)]))
+    out = sums.withColumn("f", f).withColumns({"best_fixed_expert": F.col("f.expert_id"), "best_fixed_mse": F.col("f.m"), "best_fixed_mae": F.col("f.a")})
+    return _gaps(out.drop("f", *each))
 
 
 def oracle_summary(errors: DataFrame) -> DataFrame:
@@ -85,17 +113,15 @@ def oracle_summary(errors: DataFrame) -> DataFrame:
 
 
 def uniform_ensemble(predicted: DataFrame, targets: DataFrame) -> DataFrame:
-    """(physical_window_id, uniform_mse, uniform_mae): errors of the mean of the experts' predictions."""
-    steps = predicted.select(WINDOW, F.posexplode("yhat").alias("h", "x")).groupBy(WINDOW, "h").agg(F.avg("x").alias("x"))
-    arrays = steps.groupBy(WINDOW).agg(F.sort_array(F.collect_list(F.struct("h", "x"))).alias("s"))
-    both = arrays.join(targets.select(WINDOW, "target"), WINDOW)
-    d = F.zip_with(F.transform("s", lambda s: s["x"]), "target", lambda a, b: a - b)
-    n = F.size("target")
-    return both.select(
-        WINDOW,
-        (F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x) / n).alias("uniform_mse"),
-        (F.aggregate(d, F.lit(0.0), lambda s, x: s + F.abs(x)) / n).alias("uniform_mae"),
-    )
+    """(physical_window_id, uniform_mse, uniform_mae): errors of the mean of the experts' predictions.
+
+    Arrays stay arrays: one row for each window and expert is shuffled. ``scored`` does without where experts are made here.
+    """
+    ys = predicted.groupBy(WINDOW).agg(F.collect_list("yhat").alias("ys"))
+    both = ys.join(targets.select(WINDOW, "target"), WINDOW)
+    mean = F.transform("target", lambda y, i: F.aggregate("ys", F.lit(0.0), lambda s, a: s + F.get(a, i)) / F.size("ys"))
+    u = let(mean, lambda m: F.struct(squared_error(F.col("target"), m).alias("mse"), absolute_error(F.col("target"), m).alias("mae")))
+    return both.select(WINDOW, u.alias("u")).select(WINDOW, F.col("u.mse").alias("uniform_mse"), F.col("u.mae").alias("uniform_mae"))
 
 
 def expert_metrics(errors: DataFrame, by: Sequence[str] = ()) -> DataFrame:

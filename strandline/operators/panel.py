@@ -47,13 +47,18 @@ def lengths(panel: DataFrame) -> DataFrame:
     return panel.groupBy(*ITEM).agg(F.count("*").alias("length"), F.min("date_time").alias("start_time"), F.max("date_time").alias("end_time"))
 
 
+def valid_start(pre: Column, valid_share: float = 0.2) -> Column:
+    """Where valid starts among ``pre`` rows before the cut-off."""
+    return pre - F.floor(pre * valid_share).cast("int")
+
+
 def split_bounds(panel: DataFrame, cutoff: str, valid_share: float = 0.2) -> DataFrame:
     """(subset, item_id, split, split_start_idx, split_end_idx, item_length), half open.
 
     Test starts at the cut-off; valid is the truncated share of what lies before, train the rest.
     """
     n = panel.groupBy(*ITEM).agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("date_time") < F.lit(cutoff).cast("timestamp")).cast("int").alias("pre"))
-    n = n.withColumn("cut", F.col("pre") - F.floor(F.col("pre") * valid_share).cast("int"))
+    n = n.withColumn("cut", valid_start(F.col("pre"), valid_share))
     bounds = [("train", F.lit(0), F.col("cut")), ("valid", F.col("cut"), F.col("pre")), ("test", F.col("pre"), F.col("n"))]
     rows = F.array(*[F.struct(F.lit(s).alias("split"), a.alias("split_start_idx"), b.alias("split_end_idx")) for s, a, b in bounds])
     return n.select(*ITEM, F.explode(rows).alias("b"), F.col("n").alias("item_length")).select(*ITEM, "b.*", "item_length")

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.arrays import centred, let, mean, power, std, total
+from strandline.functions.arrays import centred, let, mean, total
 from strandline.functions.ranks import quantiles, value_ranks
+from strandline.functions.spectra import forecastability
 from strandline.operators.panel import ITEM, downsample
 
 METRICS = ("trend_strength", "seasonality_strength", "forecastability")
@@ -26,16 +27,6 @@ def cleaned(values: Column) -> Column:
     return let(F.coalesce(mean(there), F.lit(0.0)), lambda m: F.transform(values, lambda x: F.when(x.isNull() | F.isnan(x), m).otherwise(x)))
 
 
-def forecastability(a: Column) -> Column:
-    """1 less the spectral entropy over its greatest; 1 for a constant series."""
-
-    def of(p: Column) -> Column:
-        h = let(total(p), lambda s: total(F.transform(p, lambda x: -(x / s) * F.ln(x / s))))
-        return F.least(F.greatest(1 - h / F.ln(F.size(p)), F.lit(0.0)), F.lit(1.0))
-
-    return F.when(std(a) < 1e-12, 1.0).otherwise(let(F.transform(power(a), lambda x: x + 1e-12), of))
-
-
 def seasonality(a: Column, period: Column) -> Column:
     """Absolute correlation of the series with itself a period later; 0 if it is not defined."""
     n = F.greatest(F.size(a) - period, F.lit(0))
@@ -64,23 +55,19 @@ def trend(a: Column) -> Column:
 
 
 def quality(series: DataFrame, period: Column, most: int = 2048) -> DataFrame:
-    """Series (… , values) with effective length, missing ratio and the three measures; values are dropped."""
-    def measured(v: Column) -> Column:
-        p = F.least(period, F.greatest(F.floor(F.size(v) / 2).cast("int"), F.lit(2)))
+    """Series (… , values) with effective length, missing ratio and the three measures; values are dropped.
 
-        def of(c: Column) -> Column:
-            return F.struct(
-                F.size(v).alias("eff_length"),
-                missing_ratio(v).alias("missing_ratio"),
-                forecastability(c).alias("forecastability"),
-                seasonality(c, p).alias("seasonality_strength"),
-                trend(c).alias("trend_strength"),
-            )
+    Spectra are made in Arrow batches, as sums over all pairs of values and frequencies would be slow on long series.
+    """
 
-        return let(cleaned(v), of)
+    def measured(c: Column, p: Column) -> Column:
+        p = F.least(p, F.greatest(F.floor(F.size(c) / 2).cast("int"), F.lit(2)))
+        return let(c, lambda v: F.struct(seasonality(v, p).alias("seasonality_strength"), trend(v).alias("trend_strength")))
 
     keep = [c for c in series.columns if c != "values"]
-    return series.select(*keep, let(downsample(F.col("values"), most), measured).alias("m")).select(*keep, "m.*")
+    few = series.select(*keep, downsample(F.col("values"), most).alias("__v"), period.alias("__p"), forecastability(F.col("values"), most).alias("forecastability"))
+    clean = few.select(*keep, F.size("__v").alias("eff_length"), missing_ratio(F.col("__v")).alias("missing_ratio"), "forecastability", measured(cleaned(F.col("__v")), F.col("__p")).alias("__m"))
+    return clean.select(*keep, "eff_length", "missing_ratio", "forecastability", "__m.*")
 
 
 def item_quality(channels: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.checks import require_columns
-from strandline.operators.panel import ITEM, split_bounds
+from strandline.operators.panel import ITEM, valid_start
 
 POLICIES = ("overlap", "strict_within_split")
 
@@ -54,6 +54,9 @@ def digest(data: dict, length: int) -> str:
     return hashlib.sha1(canonical(data).encode()).hexdigest()[:length]
 
 
+# The fields of the configuration and the layouts of ids are those that equal ids need.
+
+
 def config_hash(config: RegistryConfig) -> str:
     return digest(asdict(config), 12)
 
@@ -86,44 +89,79 @@ def window_id(config: RegistryConfig) -> Column:
 
 
 def offsets(split: Column, start: Column, end: Column, history: int, pred: int, stride: int, policy: str) -> Column:
-    """Target starts of the windows of a split; an empty array if none fits."""
+    """Target starts of the windows of a split; an empty array if none fits. Under an overlap policy, valid and test start at their split's start."""
     if stride <= 0:
         raise ValueError("the stride must be positive")
     if policy not in POLICIES and not policy.endswith("_overlap"):
         raise ValueError(f"unknown policy {policy}")
     first = start + history if policy == "strict_within_split" else F.when(split == "train", start + history).otherwise(start)
-    if policy != "strict_within_split":
-        first = F.greatest(first, F.lit(history))
     last = end - pred
     return F.when(first <= last, F.sequence(first, last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
 
-def validated_clusters(panel: DataFrame, codebook: DataFrame) -> DataFrame:
-    """(subset, item_id, official_cluster, official_tsf_cell); an item with several or unknown clusters raises."""
-    one = panel.groupBy(*ITEM).agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
-    book = F.broadcast(codebook.select(F.col("official_cluster_code").alias("lo"), "official_tsf_cell").limit(1000))
+def _stop(test: Column, why: str, value: Column, kind: str) -> Column:
+    """value, or an error that names the item if the test holds."""
+    return F.when(test, F.raise_error(F.concat(F.lit(f"{why} in item "), F.col("item_id").cast("string"))).cast(kind)).otherwise(value)
+
+
+def _items(panel: DataFrame, codebook: DataFrame, config: RegistryConfig) -> DataFrame:
+    """One row for each item: its rows in time order, its splits, its cluster and cell. The only shuffle, by item.
+
+    An item with several or unknown clusters raises.
+    """
+    one = panel.groupBy(*ITEM).agg(
+        F.sort_array(F.collect_list(F.struct("date_time", *config.channels))).alias("rows"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")
+    )
+    one = one.withColumn("times", F.transform("rows", lambda r: r["date_time"])).withColumn("item_length", F.size("times"))
+    one = one.withColumn("pre", F.size(F.filter("times", lambda t: t < F.lit(config.cutoff).cast("timestamp"))))
+    one = one.withColumn("cut", valid_start(F.col("pre")))
+    bounds = (("train", F.lit(0), F.col("cut")), ("valid", F.col("cut"), F.col("pre")), ("test", F.col("pre"), F.col("item_length")))
+    one = one.withColumn("splits", F.array(*[F.struct(F.lit(k).alias("split"), a.alias("split_start_idx"), b.alias("split_end_idx")) for k, a, b in bounds]))
+    book = codebook.select(F.col("official_cluster_code").alias("lo"), "official_tsf_cell")
     found = one.join(book, "lo", "left")
-    several = F.raise_error(F.concat(F.lit("several clusters in item "), F.col("item_id").cast("string")))
-    unknown = F.raise_error(F.concat(F.lit("cluster without cell in item "), F.col("item_id").cast("string")))
-    checked = F.when(F.col("lo") != F.col("hi"), several.cast("string")).when(F.col("official_tsf_cell").isNull(), unknown.cast("string")).otherwise(F.col("official_tsf_cell"))
-    return found.select(*ITEM, F.col("lo").alias("official_cluster"), checked.alias("official_tsf_cell"))
+    cell = _stop(F.col("official_tsf_cell").isNull(), "cluster without cell", F.col("official_tsf_cell"), "string")
+    return found.select(*ITEM, "rows", "times", "item_length", "splits", F.col("lo").alias("official_cluster"), _stop(F.col("lo") != F.col("hi"), "several clusters", cell, "string").alias("official_tsf_cell"))
 
 
-def build_registry(panel: DataFrame, codebook: DataFrame, config: RegistryConfig, periods: Periods | None = None, prefix: str = "reg") -> DataFrame:
-    """One row for each window and channel, without values. Items are the only shuffle key."""
+def build_registry(panel: DataFrame, codebook: DataFrame, config: RegistryConfig, periods: Periods | None = None, prefix: str = "reg", values: Sequence[str] = ()) -> DataFrame:
+    """One row for each window and channel. Items are the only shuffle key.
+
+    ``values`` may name ``history`` and ``target``: then these arrays are cut beside the windows, without a join.
+    A window that starts before its item raises.
+    """
     require_columns(panel, [*ITEM, "date_time", "cluster", *config.channels], "panel")
     periods = periods or Periods()
-    panel = panel.filter(F.col("subset").isin(*config.subsets))
-    times = panel.groupBy(*ITEM).agg(F.sort_array(F.collect_list("date_time")).alias("times"))
-    at = offsets(F.col("split"), F.col("split_start_idx"), F.col("split_end_idx"), config.history_len, config.pred_len, config.sample_stride, config.split_context_policy)
-    rows = split_bounds(panel, config.cutoff).join(validated_clusters(panel, codebook), ITEM).join(times, ITEM)
-    rows = rows.withColumn("target_start_idx", F.explode(at)).withColumn("channel", F.explode(F.array(*map(F.lit, config.channels))))
     h, p = config.history_len, config.pred_len
-    start = F.col("target_start_idx")
+    items = _items(panel.filter(F.col("subset").isin(*config.subsets)), codebook, config)
+
+    def channel(c: str) -> Column:
+        return F.struct(F.lit(c).alias("channel"), F.transform("rows", lambda r: r[c].cast("double")).alias("values"))
+
+    series = F.array(*map(channel, config.channels))
+    rows = items.withColumn("c", F.explode(series)).select(*ITEM, "times", "item_length", "splits", "official_cluster", "official_tsf_cell", F.col("c.channel").alias("channel"), F.col("c.values").alias("values"))
 
     def time(i: Column) -> Column:
         return F.date_format(F.get("times", i), "yyyy-MM-dd'T'HH:mm:ss")
 
+    def window(s: Column, t: Column) -> Column:
+        arrays = {"history": F.slice("values", t - h + 1, F.lit(h)), "target": F.slice("values", t + 1, F.lit(p))}
+        return F.struct(
+            s["split"].alias("split"),
+            s["split_start_idx"].alias("split_start_idx"),
+            s["split_end_idx"].alias("split_end_idx"),
+            _stop(t < h, "a window starts before the first row", t, "int").alias("target_start_idx"),
+            *[time(i).alias(f"{k}_time") for k, i in (("history_start", t - h), ("history_end", t - 1), ("target_start", t), ("target_end", t + p - 1))],
+            *[arrays[v].alias(v) for v in values],
+        )
+
+    def of_split(s: Column) -> Column:
+        at = offsets(s["split"], s["split_start_idx"], s["split_end_idx"], h, p, config.sample_stride, config.split_context_policy)
+        return F.transform(at, lambda t: window(s, t))
+
+    # what a window needs is cut out before windows become rows, so that these do not carry their whole series
+    rows = rows.withColumn("w", F.explode(F.flatten(F.transform("splits", of_split))))
+    rows = rows.select(*ITEM, "channel", "item_length", "official_cluster", "official_tsf_cell", "w.*")
+    start = F.col("target_start_idx")
     pid = window_id(config)
     return rows.select(
         *[F.lit(v).alias(k) for k, v in (("dataset", config.dataset), ("revision", config.revision), ("data_version", config.data_version))],
@@ -147,14 +185,15 @@ def build_registry(panel: DataFrame, codebook: DataFrame, config: RegistryConfig
         (start - h).alias("history_start_idx"),
         start.alias("history_end_idx"),
         (start + p).alias("target_end_idx"),
-        time(start - h).alias("history_start_time"),
-        time(start - 1).alias("history_end_time"),
-        time(start).alias("target_start_time"),
-        time(start + p - 1).alias("target_end_time"),
+        "history_start_time",
+        "history_end_time",
+        "target_start_time",
+        "target_end_time",
         "split_start_idx",
         "split_end_idx",
         "item_length",
         (F.col("split_end_idx") - F.col("split_start_idx")).alias("split_length"),
+        *values,
     )
 
 
@@ -164,11 +203,27 @@ def count_table(registry: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def registry_audit(registry: DataFrame) -> DataFrame:
-    """One row: totals, and the smallest group of (split, subset) and of (split, subset, cell)."""
+    """One row: totals, and the smallest group of (split, subset), of (split, subset, cell) and of (subset, item, channel)."""
     sums = registry.agg(F.count("*").alias("rows"), F.count_distinct("physical_window_id").alias("windows"), F.count_distinct("subset", "item_id").alias("items"), F.count_distinct("channel").alias("channels"))
     fine = registry.groupBy("split", "subset", "official_tsf_cell").agg(F.count("*").alias("n"))
     small = fine.groupBy("split", "subset").agg(F.sum("n").alias("m"), F.min("n").alias("k")).agg(F.min("m").alias("min_split_subset"), F.min("k").alias("min_split_subset_cell"))
-    return sums.crossJoin(small)
+    units = registry.groupBy("subset", "item_id", "channel").agg(F.count("*").alias("n")).agg(F.min("n").alias("min_item_channel"))
+    return sums.crossJoin(small).crossJoin(units)  # one row each
+
+
+#: The tables of the audit and their columns.
+COUNT_TABLES = {
+    "split": ("split",),
+    "subset": ("subset",),
+    "cell": ("official_tsf_cell",),
+    "split_subset_cell": ("split", "subset", "official_tsf_cell"),
+    "item_channel": ("subset", "item_id", "channel"),
+}
+
+
+def audit_tables(registry: DataFrame) -> dict[str, DataFrame]:
+    """The five tables of counts of the audit."""
+    return {name: count_table(registry, columns) for name, columns in COUNT_TABLES.items()}
 
 
 def with_values(registry: DataFrame, series: DataFrame, target: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import panel as P
 from strandline.operators.codebook import CODES, official_codebook
-from strandline.operators.registry import Periods, RegistryConfig, build_registry, with_values
+from strandline.operators.registry import Periods, RegistryConfig, build_registry
 
 CHANNELS = ("ind_1", "ind_2", "ind_3")
 CUTOFF = "2000-07-01 00:00:00"
@@ -35,5 +35,5 @@ def registry(spark: SparkSession, sf_dir: str, config: RegistryConfig = CONFIG)
     return build_registry(panel(spark, sf_dir), official_codebook(spark), config, PERIODS)
 
 
-def windows(spark: SparkSession, sf_dir: str, target: bool = True) -> DataFrame:
-    return with_values(registry(spark, sf_dir), series(spark, sf_dir), target)
+def windows(spark: SparkSession, sf_dir: str, target: bool = True, config: RegistryConfig = CONFIG) -> DataFrame:
+    return build_registry(panel(spark, sf_dir), official_codebook(spark), config, PERIODS, values=("history", "target") if target else ("history",))

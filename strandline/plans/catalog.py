@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions import arrays as A
+from strandline.functions import spectra
 from strandline.operators import checks, codebook, experts, images, oracle, panel, proxy, quality, registry, sampling
 from strandline.plans import adapters as D
 
@@ -36,7 +36,7 @@ PARTS = {
   CASE b.subset WHEN 'hour' THEN 4 ELSE 13 END AS period, s.vals[t - {H} + 1 : t] AS history, s.vals[t + 1 : t + {P}] AS target,
   substring(sha1('{{"channel":"' || s.channel || '","data_version":"1","dataset":"panel","history_len":{H},"item_id":' || b.item_id ||
   ',"pred_len":{P},"revision":"1","split":"' || b.split || '","subset":"' || b.subset || '","target_start_idx":' || t || '}}'), 1, 16) AS physical_window_id
-  FROM b, unnest(range(CASE WHEN b.split = 'train' THEN b.s + {H} ELSE greatest(b.s, {H}) END, b.e - {P} + 1, {P})) u(t)
+  FROM b, unnest(range(CASE WHEN b.split = 'train' THEN b.s + {H} ELSE b.s END, b.e - {P} + 1, {P})) u(t)
   JOIN s ON s.subset = b.subset AND s.item_id = b.item_id JOIN book ON book.official_cluster_code = b.cluster""",
     "p": f"""SELECT w.*, x.expert_id, x.o, x.yhat FROM w, LATERAL (SELECT unnest([
   {{'expert_id': 'last_value', 'o': 0, 'yhat': [history[{H}] for i in range({P})]}},
@@ -48,21 +48,29 @@ PARTS = {
   list_sum([abs(target[i + 1] - yhat[i + 1]) for i in range({P})]) / {P} AS mae FROM p""",
     "rk": """SELECT *, row_number() OVER (PARTITION BY physical_window_id ORDER BY round(mse, 9), o) AS rank_in_window,
   exp(-mse / 100 - max(-mse / 100) OVER (PARTITION BY physical_window_id)) AS e FROM er""",
-    "q": f"""SELECT subset, item_id, channel, v, list_sum(v) / len(v) AS m, len(v) AS n, CASE subset WHEN 'hour' THEN 4 ELSE 13 END AS p
-  FROM (SELECT subset, item_id, channel, vals[1:{H * 2}] AS v FROM s)""",
+    "q": """SELECT *, least(g, greatest(n // 2, 2)) AS p, [x - m for x in v] AS c FROM (
+  SELECT subset, item_id, channel, v, list_sum(v) / len(v) AS m, len(v) AS n, CASE subset WHEN 'hour' THEN 4 ELSE 13 END AS g
+  FROM (SELECT subset, item_id, channel, CASE WHEN len(vals) > 2048 THEN [vals[CAST(floor(i * (len(vals) - 1) / 2047e0) AS INT) + 1] for i in range(2048)] ELSE vals END AS v FROM s))""",
     "ql": """SELECT subset, item_id, channel, n AS eff_length,
-  (list_sum([(v[i + 1] - m) * (i - (n - 1) / 2e0) for i in range(n)]) ^ 2) / (n * (n * n - 1e0) / 12) AS ssr,
-  list_sum([(x - m) ^ 2 for x in v]) AS sst, v[1 : n - p] AS a, v[p + 1 : n] AS z FROM q""",
-    "qs": """SELECT subset, item_id, channel, eff_length,
-  round(least(greatest(1 - (sst - ssr) / (sst + 1e-12), 0), 1), 6) AS trend_strength,
-  round(coalesce(abs((list_sum([a[k + 1] * z[k + 1] for k in range(len(a))]) - list_sum(a) * list_sum(z) / len(a))
-    / sqrt((list_sum([x * x for x in a]) - list_sum(a) ^ 2 / len(a)) * (list_sum([x * x for x in z]) - list_sum(z) ^ 2 / len(a)))), 0), 6) AS seasonality_strength FROM ql""",
-    "i": "SELECT subset, item_id, avg(trend_strength) AS trend_strength, avg(seasonality_strength) AS seasonality_strength, avg(eff_length) / 100 AS forecastability FROM qs GROUP BY ALL",
+  (list_sum([c[i + 1] * (i - (n - 1) / 2e0) for i in range(n)]) ^ 2) / (n * (n * n - 1e0) / 12) AS ssr,
+  list_sum([x * x for x in c]) AS sst, v[1 : n - p] AS a, v[p + 1 : n] AS z FROM q""",
+    # the transform as sums over pairs of places and frequencies
+    "pw": """SELECT subset, item_id, channel, k, sum(c[i + 1] * cos(2 * pi() * (k * i % n) / n)) ^ 2 + sum(c[i + 1] * sin(2 * pi() * (k * i % n) / n)) ^ 2 + 1e-12 AS x
+  FROM (SELECT subset, item_id, channel, c, n, k, unnest(range(n)) AS i FROM (SELECT subset, item_id, channel, c, n, unnest(range(1, n // 2 + 1)) AS k FROM q)) GROUP BY ALL""",
+    "fo": """SELECT q.subset, q.item_id, q.channel, CASE WHEN any_value(q.n) < 4 OR any_value(sqrt(list_sum([x * x for x in q.c]) / q.n)) < 1e-12 THEN 1
+  ELSE least(greatest(1 - any_value(e.h), 0), 1) END AS forecastability FROM q LEFT JOIN (SELECT subset, item_id, channel, sum(-(x / t) * ln(x / t)) / ln(any_value(f)) AS h
+    FROM (SELECT *, sum(x) OVER w AS t, count(*) OVER w AS f FROM pw WINDOW w AS (PARTITION BY subset, item_id, channel)) WHERE f > 1 GROUP BY ALL) e USING (subset, item_id, channel) GROUP BY ALL""",
+    "qs": """SELECT subset, item_id, channel, eff_length, round(forecastability, 6) AS forecastability,
+  round(CASE WHEN eff_length < 3 THEN 0 ELSE least(greatest(1 - (sst - ssr) / (sst + 1e-12), 0), 1) END, 6) AS trend_strength,
+  round(CASE WHEN len(a) >= 2 AND sxx > 1e-24 AND syy > 1e-24 THEN abs(sxy / sqrt(sxx * syy)) ELSE 0 END, 6) AS seasonality_strength
+  FROM (SELECT *, list_sum([(a[k + 1] - ma) * (z[k + 1] - mz) for k in range(len(a))]) AS sxy, list_sum([(x - ma) ^ 2 for x in a]) AS sxx, list_sum([(x - mz) ^ 2 for x in z]) AS syy
+    FROM (SELECT *, list_sum(a) / len(a) AS ma, list_sum(z) / len(z) AS mz FROM ql)) JOIN fo USING (subset, item_id, channel)""",
+    "i": "SELECT subset, item_id, avg(trend_strength) AS trend_strength, avg(seasonality_strength) AS seasonality_strength, avg(forecastability) AS forecastability FROM qs GROUP BY ALL",
     "wc": f"""SELECT subset, item_id, split, e - s AS split_length, st.seq_len, st.pred_len, greatest(e - s - st.seq_len - st.pred_len + 1, 0) AS item_windows
   FROM b, LATERAL (SELECT unnest([{{'seq_len': 12, 'pred_len': 8}}, {{'seq_len': 24, 'pred_len': 8}}, {{'seq_len': 48, 'pred_len': 8}}]) AS st)""",
 }
 NEEDS = {
-    "n": ["panel"], "b": ["n"], "l": ["panel"], "s": ["l"], "w": ["b", "s", "book"], "p": ["w"], "er": ["p"], "rk": ["er"], "q": ["s"], "ql": ["q"], "qs": ["ql"], "i": ["qs"], "wc": ["b"],
+    "n": ["panel"], "b": ["n"], "l": ["panel"], "s": ["l"], "w": ["b", "s", "book"], "p": ["w"], "er": ["p"], "rk": ["er"], "q": ["s"], "ql": ["q"], "pw": ["q"], "fo": ["q", "pw"], "qs": ["ql", "fo"], "i": ["qs"], "wc": ["b"],
 }
 SETTINGS = ((12, 8), (24, 8), (48, 8))
 
@@ -78,7 +86,7 @@ def _with(names: list[str], more: str, body: str) -> str:
 
     for n in names:
         add(n)
-    parts = [f"{n} AS ({PARTS[n]})" for n in order] + ([more] if more else [])
+    parts = [f"{n} AS MATERIALIZED ({PARTS[n]})" for n in order] + ([more] if more else [])
     return f"WITH {', '.join(parts)} {body}"
 
 
@@ -197,6 +205,12 @@ def window_values(spark, d):
     return D.windows(spark, d).select(WINDOW, "history", "target")
 
 
+@query("SELECT physical_window_id, history, target FROM w WHERE split = 'test'", "w")
+def joined_values(spark, d):
+    """Values of a stored registry's windows by a join with the series."""
+    return registry.with_values(D.registry(spark, d).filter("split = 'test'"), D.series(spark, d)).select(WINDOW, "history", "target")
+
+
 @query("SELECT physical_window_id, CAST(NULL AS BIGINT) AS n FROM w GROUP BY physical_window_id HAVING count(*) > 1", "w")
 def duplicate_windows(spark, d):
     return checks.duplicate_keys(D.registry(spark, d), [WINDOW])
@@ -270,13 +284,24 @@ un AS (SELECT physical_window_id, list_sum([d * d for d in dd]) / len(dd) AS um,
     GROUPS,
 )
 def oracle_audit(spark, d):
-    """Flagship: panel, windows, experts, errors, true ensemble and the audit by group."""
-    w = D.windows(spark, d)
-    predicted = experts.predictions(w)
-    out = oracle.oracle_audit(_errors(spark, d), oracle.uniform_ensemble(predicted, w), temperature=100.0)
+    """Flagship: panel, windows, experts, errors, true ensemble and the audit by group, in one pass over the windows."""
+    out = oracle.window_audit(D.windows(spark, d), temperature=100.0)
     return out.select("group_kind", "group_value", "windows", *[r6(c) for c in ("oracle_mse", "oracle_mae", "uniform_proxy_mse", "true_uniform_mse", "true_uniform_mae", "best_fixed_mse", "oracle_gap")], "best_fixed_expert")
 
 
+@query(
+    """SELECT group_kind, group_value, count(*) AS windows, round(avg(o), 6) AS oracle_mse, round(avg(um), 6) AS true_uniform_mse, any_value(f.e) AS best_fixed_expert, round(any_value(f.m), 6) AS best_fixed_mse,
+  round(any_value(f.a), 6) AS best_fixed_mae, round(avg(um) - avg(o), 6) AS gap_vs_uniform FROM pw JOIN fx USING (group_kind, group_value) JOIN un USING (physical_window_id) GROUP BY ALL""",
+    "er",
+    GROUPS,
+)
+def cached_oracle_audit(spark, d):
+    """The audit from tables of errors and predictions, as caches hold them."""
+    w = D.windows(spark, d)
+    out = oracle.oracle_audit(_errors(spark, d), oracle.uniform_ensemble(experts.predictions(w), w))
+    return out.select("group_kind", "group_value", "windows", *[r6(c) for c in ("oracle_mse", "true_uniform_mse", "best_fixed_mse", "best_fixed_mae", "gap_vs_uniform")], "best_fixed_expert")
+
+
 @query("SELECT count(*) AS windows, any_value(f.e) AS best_fixed_expert, round(any_value(f.m), 6) AS best_fixed_mse, round(avg(o), 6) AS oracle_mse, round(avg(u), 6) AS uniform_proxy_mse, round(any_value(f.m) - avg(o), 6) AS oracle_gap FROM pw JOIN fx USING (group_kind, group_value) WHERE group_kind = 'overall'", "er", GROUPS)
 def oracle_summary(spark, d):
     out = oracle.oracle_summary(_errors(spark, d))
@@ -381,7 +406,7 @@ def channel_quality(spark, d):
     return _channel_quality(spark, d).select("subset", "item_id", "channel", "eff_length", r6("trend_strength"), r6("seasonality_strength"))
 
 
-@query()
+@query("SELECT subset, item_id, channel, forecastability, 0.0e0 AS missing_ratio FROM qs", "qs")
 def spectral_forecastability(spark, d):
     return _channel_quality(spark, d).select("subset", "item_id", "channel", r6("forecastability"), "missing_ratio")
 
@@ -392,6 +417,7 @@ def item_quality(spark, d):
 
 
 MEDIAN = "concat_ws('_', CASE WHEN trend_strength >= (SELECT median(trend_strength) FROM i) THEN 'highT' ELSE 'lowT' END, CASE WHEN seasonality_strength >= (SELECT median(seasonality_strength) FROM i) THEN 'highS' ELSE 'lowS' END, CASE WHEN forecastability >= (SELECT median(forecastability) FROM i) THEN 'highF' ELSE 'lowF' END)"
+THRESHOLD = "concat_ws('_', CASE WHEN trend_strength > 0.05 THEN 'highT' ELSE 'lowT' END, CASE WHEN seasonality_strength > 0.05 THEN 'highS' ELSE 'lowS' END, CASE WHEN forecastability > 0.05 THEN 'highF' ELSE 'lowF' END)"
 
 
 @query(f"SELECT subset, item_id, {MEDIAN} AS tsf_cell FROM i", "i")
@@ -470,11 +496,6 @@ def _labelled(spark, d) -> DataFrame:
     return both.withColumnsRenamed(names).join(code, ["subset", "item_id"])
 
 
-@query()
-def codebook_candidates(spark, d):
-    return codebook.candidates(_labelled(spark, d)).select("candidate_rank", "digit_1_dim", "digit_2_dim", "digit_3_dim", "trend_high_digit", "seasonality_high_digit", "forecastability_high_digit", r6("evidence_score"))
-
-
 def _mode_sql(name: str) -> str:
     return f"""{name}_m AS (SELECT code, cell AS mode, c / t AS ratio, c AS count FROM (SELECT *, sum(c) OVER (PARTITION BY code) AS t, row_number() OVER (PARTITION BY code ORDER BY c DESC, cell) AS k
   FROM (SELECT code, {name} AS cell, count(*) AS c FROM lb GROUP BY ALL)) WHERE k = 1)"""
@@ -494,9 +515,6 @@ def cluster_semantics(spark, d):
     return codebook.semantics(_labelled(spark, d))
 
 
-THRESHOLD = "concat_ws('_', CASE WHEN trend_strength > 0.05 THEN 'highT' ELSE 'lowT' END, CASE WHEN seasonality_strength > 0.05 THEN 'highS' ELSE 'lowS' END, CASE WHEN forecastability > 0.05 THEN 'highF' ELSE 'lowF' END)"
-
-
 @query(f"SELECT subset, item_id, {THRESHOLD} AS tsf_cell_stl, {MEDIAN} AS tsf_cell_proxy, {THRESHOLD} = {MEDIAN} AS same_cell FROM i", "i")
 def labelling_comparison(spark, d):
     both = quality.compare(quality.threshold_cells(_items(spark, d), 0.05), quality.median_cells(_items(spark, d)))
@@ -563,14 +581,13 @@ def light_proxy(spark, d):
     "w",
 )
 def spectral_features(spark, d):
-    w = D.windows(spark, d, target=False)
-    s = A.spectral(A.filled(F.col("history")))
-    return w.select(WINDOW, F.round(s["entropy"], 6).alias("spectral_entropy"), F.round(s["dominance"], 6).alias("dominant_frequency_strength"))
+    s = D.windows(spark, d, target=False).select(WINDOW, spectra.spectral(F.col("history")).alias("s"))
+    return s.select(WINDOW, F.round("s.entropy", 6).alias("spectral_entropy"), F.round("s.dominance", 6).alias("dominant_frequency_strength"))
 
 
-@query(f"SELECT physical_window_id, round(list_sum(history) / {H}, 6) AS norm_mean, CAST(CASE period WHEN 4 THEN 0 ELSE 2 END AS INT) AS padding_length, CAST(CASE period WHEN 4 THEN 6 ELSE 2 END AS INT) AS num_cycles FROM w", "w")
+@query(f"SELECT physical_window_id, round(list_sum(history) / {H}, 6) AS norm_mean, round(sqrt(list_sum([(x - list_sum(history) / {H}) ^ 2 for x in history]) / {H} + 1e-5), 6) AS norm_std, CAST(CASE period WHEN 4 THEN 0 ELSE 2 END AS INT) AS padding_length, CAST(CASE period WHEN 4 THEN 6 ELSE 2 END AS INT) AS num_cycles FROM w", "w")
 def image_index(spark, d):
-    return images.image_index(D.windows(spark, d, target=False)).select(WINDOW, r6("norm_mean"), "padding_length", "num_cycles")
+    return images.image_index(D.windows(spark, d, target=False)).select(WINDOW, r6("norm_mean"), r6("norm_std"), "padding_length", "num_cycles")
 
 
 @query()
@@ -580,8 +597,8 @@ def view_images(spark, d):
 
 @query()
 def view_embeddings(spark, d):
-    """Embeddings to 4 digits: single-precision sums depend on the rows beside them beyond that."""
-    return images.embed(D.windows(spark, d, target=False)).select(WINDOW, F.transform("z", lambda x: F.round(x, 4)).alias("z"))
+    """Embeddings to 6 digits: single-precision sums depend on the rows beside them beyond that."""
+    return images.embed(D.windows(spark, d, target=False)).select(WINDOW, F.transform("z", lambda x: F.round(x, 6)).alias("z"))
 
 
 def _hashed(seed: int) -> str:
