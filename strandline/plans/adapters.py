@@ -37,3 +37,17 @@ def registry(spark: SparkSession, sf_dir: str, config: RegistryConfig = CONFIG)
 
 def windows(spark: SparkSession, sf_dir: str, target: bool = True, config: RegistryConfig = CONFIG) -> DataFrame:
     return build_registry(panel(spark, sf_dir), official_codebook(spark), config, PERIODS, values=("history", "target") if target else ("history",))
+
+
+#: Windows as long as those of the published timings.
+LONG = RegistryConfig(history_len=192, pred_len=96, sample_stride=8, channels=CHANNELS, cutoff=CUTOFF)
+
+
+def long_windows(spark: SparkSession, sf_dir: str, target: bool = True) -> DataFrame:
+    """Windows of 192 and 96 days over daily series of 64 groups of suppliers."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("item_id", F.col("l_suppkey") % 64)
+    code = F.get(F.array(*map(F.lit, CODES)), (F.col("item_id") % 8).cast("int"))
+    days = line.groupBy(F.when(F.col("item_id") % 2 == 0, "hour").otherwise("min").alias("subset"), "item_id", F.date_trunc("day", "l_shipdate").alias("date_time"), code.alias("cluster")).agg(
+        F.sum("l_quantity").alias("ind_1"), F.count("*").cast("double").alias("ind_2"), F.max("l_linenumber").cast("double").alias("ind_3")
+    )
+    return build_registry(days, official_codebook(spark), LONG, PERIODS, values=("history", "target") if target else ("history",))

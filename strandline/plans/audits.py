@@ -35,11 +35,6 @@ def item_channel_counts(spark, d):
     return out.select("subset", "item_id", "channel", "rows", "windows", F.col("items").cast("int").alias("items"))
 
 
-@query("SELECT min(c) AS min_item_channel FROM (SELECT count(*) AS c FROM w GROUP BY subset, item_id, channel)", "w")
-def smallest_item_channel(spark, d):
-    return registry.registry_audit(D.registry(spark, d)).select("min_item_channel")
-
-
 @query(f"SELECT physical_window_id, {', '.join(f'round(yhat[{i + 1}], 6) AS yhat_{i}' for i in range(P))} FROM p WHERE expert_id = 'recent_mean'", "p")
 def wide_predictions(spark, d):
     """Forecasts as numbered columns, found again in the order of their numbers."""
@@ -339,3 +334,29 @@ def move_states(spark, d):
     manifest = spark.createDataFrame(PATHS, "i long, old_path string, new_path string")
     there = [(o,) for i, o, _ in PATHS if i % 2 == 0] + [(n,) for i, _, n in PATHS if i % 4 >= 2]
     return codebook.move_status(manifest, spark.createDataFrame(there, "path string")).select("i", "move_state")
+
+
+# ---- windows as long as the published ones ----
+
+
+def _long(name: str) -> str:
+    """The SQL of daily windows of 192 and 96 days of groups of suppliers."""
+    return f"""dp AS (SELECT l_suppkey % 64 AS item_id, CASE WHEN l_suppkey % 64 % 2 = 0 THEN 'hour' ELSE 'min' END AS subset, date_trunc('day', l_shipdate) AS date_time, sum(l_quantity) AS ind_1, CAST(count(*) AS DOUBLE) AS ind_2, CAST(max(l_linenumber) AS DOUBLE) AS ind_3 FROM lineitem GROUP BY ALL),
+dn AS (SELECT item_id, CAST(count(*) AS INT) AS n, CAST(count(*) FILTER (date_time < TIMESTAMP '{D.CUTOFF}') AS INT) AS pre FROM dp GROUP BY ALL),
+ds AS (SELECT item_id, subset, channel, list(value ORDER BY date_time) AS vals FROM (SELECT * FROM dp UNPIVOT (value FOR channel IN (ind_1, ind_2, ind_3))) GROUP BY ALL),
+db AS (SELECT item_id, v.split, v.s, v.e FROM (SELECT *, pre - CAST(floor(pre * 0.2) AS INT) AS cut FROM dn) q, LATERAL (SELECT unnest([{{'split': 'train', 's': 0, 'e': cut}}, {{'split': 'valid', 's': cut, 'e': pre}}, {{'split': 'test', 's': pre, 'e': n}}]) AS v)),
+{name} AS (SELECT ds.subset, db.item_id, ds.channel, db.split, CASE ds.subset WHEN 'hour' THEN 4 ELSE 13 END AS period, ds.vals[t - 191 : t] AS history, ds.vals[t + 1 : t + 96] AS target FROM db JOIN ds ON ds.item_id = db.item_id, unnest(range(CASE WHEN db.split = 'train' THEN db.s + 192 ELSE db.s END, db.e - 95, 8)) u(t))"""
+
+
+@query("SELECT subset, item_id, channel, split, count(*) AS windows, round(avg(list_sum([(target[i + 1] - history[192 - period + 1 + i % period]) ^ 2 for i in range(96)]) / 96), 9) AS mse FROM lw GROUP BY ALL", "", _long("lw"))
+def long_errors(spark, d):
+    """Seasonal errors of windows of 192 and 96 values."""
+    e = experts.error_table(D.long_windows(spark, d)).filter("expert_id = 'seasonal_naive'")
+    return e.groupBy("subset", "item_id", "channel", "split").agg(F.count("*").alias("windows"), F.round(F.avg("mse"), 9).alias("mse"))
+
+
+@query("SELECT subset, item_id, channel, split, round(avg(list_avg(history)), 6) AS mean, round(avg(list_max(history) - list_min(history)), 6) AS amplitude FROM lw GROUP BY ALL", "", _long("lw"))
+def long_proxy(spark, d):
+    """All features of histories of 192 values by the batched kernel; two of them, averaged, are stated."""
+    f = proxy.proxy_batches(D.long_windows(spark, d, target=False))
+    return f.groupBy("subset", "item_id", "channel", "split").agg(F.round(F.avg("mean"), 6).alias("mean"), F.round(F.avg("amplitude"), 6).alias("amplitude"))

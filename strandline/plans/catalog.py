@@ -193,7 +193,8 @@ def registry_counts(spark, d):
 @query(
     """SELECT count(*) AS rows, count(DISTINCT physical_window_id) AS windows, count(DISTINCT (subset, item_id)) AS items, count(DISTINCT channel) AS channels,
   (SELECT min(c) FROM (SELECT count(*) AS c FROM w GROUP BY split, subset)) AS min_split_subset,
-  (SELECT min(c) FROM (SELECT count(*) AS c FROM w GROUP BY split, subset, official_tsf_cell)) AS min_split_subset_cell FROM w""",
+  (SELECT min(c) FROM (SELECT count(*) AS c FROM w GROUP BY split, subset, official_tsf_cell)) AS min_split_subset_cell,
+  (SELECT min(c) FROM (SELECT count(*) AS c FROM w GROUP BY subset, item_id, channel)) AS min_item_channel FROM w""",
     "w",
 )
 def registry_audit(spark, d):
