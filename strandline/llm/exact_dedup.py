@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACE_CLASS, cut, shared_dir
+from strandline.llm.common import SPACE_CLASS, cut, release, shared_dir
 
 #: Copies of one text that are held against one copy of the kept text.
 HITS_PER_COPY = 500
@@ -59,13 +59,13 @@ def _streamable(spark: SparkSession, path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]" if fs.getFileStatus(at).isFile() else path
 
 
-def stream_groups(spark: SparkSession, path: str, digest=sha256, files_per_batch: int | None = None, bytes_per_batch: int = 512 << 30) -> DataFrame:
+def stream_groups(spark: SparkSession, path: str, folder: str, digest=sha256, files_per_batch: int | None = None, bytes_per_batch: int = 512 << 30) -> DataFrame:
     """(digest, at, n) of every distinct text under ``path``, from a stream that runs until it has read all of it.
 
-    ``at`` is the identifier and locator of the row that stays. Batches write their changed groups to
-    shared storage, one folder for each batch, so a batch that is run again replaces its own output.
+    ``at`` is the identifier and locator of the row that stays. State and groups lie in ``folder`` on shared
+    storage. Batches write their changed groups there, one folder for each, so a batch that is run again
+    replaces its own output.
     """
-    folder = f"{shared_dir(spark)}/exact-{uuid.uuid4().hex}"
     session = spark.newSession()
     for k, v in (STATE_CONF | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}).items():
         session.conf.set(k, v)
@@ -99,8 +99,11 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256, files_per_batch:
     Digests that coincide for different texts do not merge them: every hit is compared with the whole
     text that its group's locator names, and what differs is grouped by text.
     """
-    groups = stream_groups(spark, path, digest, files_per_batch)
+    folder = f"{shared_dir(spark)}/exact-{uuid.uuid4().hex}"
+    groups = stream_groups(spark, path, folder, digest, files_per_batch)
     shared = cut(groups.filter("n > 1").select("digest", F.col("at").alias("first"), "n"))
+    del groups
+    release(spark, folder)  # the groups that matter are kept; a text of its own needs none
     if shared.count() <= BROADCAST_GROUPS:
         shared = F.broadcast(shared)  # then only texts of groups move; beyond, all texts meet the groups by shuffle
     rows = _keyed(spark.read.parquet(path), digest)
