@@ -235,7 +235,7 @@ def outlier_contribution(spark, d):
 
 
 @query(
-    """SELECT gate, split, count(*) AS windows, round(avg(kl), 6) AS kl, round(avg(g), 6) AS mean_mse, round(avg(h), 6) AS gate_entropy, round((any_value(bf) - avg(g)) / (any_value(bf) - avg(o)), 6) AS gap_reduction FROM (
+    """SELECT gate, split, count(*) AS windows, round(avg(kl), 6) AS kl, round(avg(g), 6) AS mean_mse, round(avg(h), 6) + 0e0 AS gate_entropy, round((any_value(bf) - avg(g)) / (any_value(bf) - avg(o)), 6) + 0e0 AS gap_reduction FROM (
   SELECT gate, split, physical_window_id, sum(CASE WHEN q > 0 THEN q * (ln(q + 1e-8) - ln(gw + 1e-8)) ELSE 0 END) AS kl, sum(gw * mse) AS g, sum(-gw * ln(gw + 1e-8)) AS h, min(mse) AS o FROM (
     SELECT qq.*, x.gate, CASE WHEN x.gate = 'uniform' THEN 0.25e0 WHEN expert_id = best THEN 1e0 ELSE 0e0 END AS gw FROM qq, bb, (SELECT unnest(['uniform', 'fixed_best']) AS gate) x) GROUP BY ALL)
   JOIN (SELECT split, min(m) AS bf FROM (SELECT split, expert_id, avg(mse) AS m FROM er GROUP BY ALL) GROUP BY ALL) USING (split) GROUP BY gate, split""",
@@ -355,8 +355,8 @@ def long_errors(spark, d):
     return e.groupBy("subset", "item_id", "channel", "split").agg(F.count("*").alias("windows"), F.round(F.avg("mse"), 9).alias("mse"))
 
 
-@query("SELECT subset, item_id, channel, split, round(avg(list_avg(history)), 6) AS mean, round(avg(list_max(history) - list_min(history)), 6) AS amplitude FROM lw GROUP BY ALL", "", _long("lw"))
+@query("SELECT subset, item_id, channel, split, round(avg(list_avg(history)), 9) AS mean, round(avg(list_max(history) - list_min(history)), 9) AS amplitude FROM lw GROUP BY ALL", "", _long("lw"))
 def long_proxy(spark, d):
     """All features of histories of 192 values by the batched kernel; two of them, averaged, are stated."""
     f = proxy.proxy_batches(D.long_windows(spark, d, target=False))
-    return f.groupBy("subset", "item_id", "channel", "split").agg(F.round(F.avg("mean"), 6).alias("mean"), F.round(F.avg("amplitude"), 6).alias("amplitude"))
+    return f.groupBy("subset", "item_id", "channel", "split").agg(F.round(F.avg("mean"), 9).alias("mean"), F.round(F.avg("amplitude"), 9).alias("amplitude"))
