@@ -99,39 +99,39 @@ def test_experts(spark):
 
 
 ERRORS = [
-    ("w1", "valid", "hour", "cell_a", "seasonal_naive", 4.0, 2.0), ("w1", "valid", "hour", "cell_a", "dlinear", 1.0, 1.0), ("w1", "valid", "hour", "cell_a", "patch", 9.0, 3.0),
-    ("w2", "test", "min", "cell_b", "seasonal_naive", 1.0, 1.0), ("w2", "test", "min", "cell_b", "dlinear", 4.0, 2.0), ("w2", "test", "min", "cell_b", "patch", 2.0, 1.5),
-    ("extra", "test", "min", "cell_b", "seasonal_naive", 0.0, 0.0),
+    ("w1", "train", "hour", "x", "naive", 2.0, 1.0), ("w1", "train", "hour", "x", "line", 5.0, 2.0), ("w1", "train", "hour", "x", "tree", 0.5, 0.5),
+    ("w2", "valid", "min", "y", "naive", 3.0, 1.5), ("w2", "valid", "min", "y", "line", 1.0, 0.8), ("w2", "valid", "min", "y", "tree", 8.0, 2.5),
+    ("w3", "valid", "min", "y", "naive", 70.0, 7.0),
 ]
 
 
 def test_oracle_and_ensemble(spark):
     e = spark.createDataFrame(ERRORS, "physical_window_id string, split string, subset string, official_tsf_cell string, expert_id string, mse double, mae double")
-    names = ["seasonal_naive", "dlinear", "patch"]
+    names = ["naive", "line", "tree"]
     s = oracle.oracle_summary(oracle.common_windows(e, names)).first()
-    assert (s.windows, s.best_fixed_expert, s.best_fixed_mse, s.oracle_mse, s.oracle_gap, s.uniform_proxy_mse) == (2, "dlinear", 2.5, 1.0, 1.5, 3.5)
-    y = [("w1", "a", [1.0, 1.0]), ("w1", "b", [2.0, 2.0]), ("w1", "c", [3.0, 3.0]), ("w2", "a", [0.0, 0.0]), ("w2", "b", [0.0, 2.0]), ("w2", "c", [2.0, 2.0])]
+    assert (s.windows, s.best_fixed_expert, s.best_fixed_mse, s.oracle_mse, s.oracle_gap, s.uniform_proxy_mse) == (2, "naive", 2.5, 0.75, 1.75, 3.25)
+    y = [("w1", "a", [0.0, 3.0]), ("w1", "b", [2.0, 3.0]), ("w2", "a", [4.0, 0.0]), ("w2", "b", [0.0, 0.0])]
     p = spark.createDataFrame(y, "physical_window_id string, expert_id string, yhat array<double>")
-    t = spark.createDataFrame([("w1", [2.0, 2.0]), ("w2", [1.0, 1.0])], "physical_window_id string, target array<double>")
-    u = oracle.uniform_ensemble(p, t).agg(F.avg("uniform_mse"), F.avg("uniform_mae")).first()
-    assert u[0] == pytest.approx(1 / 18) and u[1] == pytest.approx(1 / 6)
+    t = spark.createDataFrame([("w1", [2.0, 2.0]), ("w2", [1.0, 0.0])], "physical_window_id string, target array<double>")
+    u = {r.physical_window_id: (r.uniform_mse, r.uniform_mae) for r in oracle.uniform_ensemble(p, t).collect()}
+    assert u == {"w1": (1.0, 1.0), "w2": (0.5, 0.5)}
     kinds = {(r.group_kind, r.group_value) for r in oracle.oracle_audit(e).collect()}
-    assert ("overall", "all") in kinds and ("split", "valid") in kinds and ("official_tsf_cell", "cell_b") in kinds
+    assert ("overall", "all") in kinds and ("split", "valid") in kinds and ("official_tsf_cell", "y") in kinds
     assert oracle.oracle_summary(e.limit(0)).first().windows == 0
     with pytest.raises(Exception, match="caches repeats the key"):
         oracle.union_caches([e, e]).collect()
 
 
 def test_proxy(spark):
-    f = proxy.proxy_table(window(spark, [1.0, 2.0, 3.0, 4.0], [9.0], 24)).first()
-    assert (f["mean"], f["last_value"], f["max"], f["missing_ratio"], f["amplitude"], f["slope"], f["acf_period"]) == (2.5, 4, 4, 0, 3, 1, 0)
-    g = proxy.proxy_table(window(spark, [1.0, float("nan"), 1.0, 2.0, 3.0, 5.0], [9.0], 3)).first()
-    assert g["missing_ratio"] == pytest.approx(1 / 6) and g["mean"] == pytest.approx(2.4) and math.isfinite(g["spectral_entropy"])
+    f = proxy.proxy_table(window(spark, [6.0, 2.0, 7.0, 5.0], [9.0], 24)).first()
+    assert (f["mean"], f["last_value"], f["max"], f["missing_ratio"], f["amplitude"], f["acf_period"]) == (5, 5, 7, 0, 5, 0) and f["slope"] == pytest.approx(0.2)
+    g = proxy.proxy_table(window(spark, [4.0, float("nan"), 2.0, 6.0, 8.0], [9.0], 2)).first()
+    assert g["missing_ratio"] == pytest.approx(0.2) and g["mean"] == 5 and math.isfinite(g["spectral_entropy"])
 
 
 def test_cells_and_codebook(spark):
-    q = spark.createDataFrame([("hour", 1, 0.4001, 0.5, 0.6), ("hour", 2, 0.4, 0.4, 0.4), ("hour", 3, float("nan"), 0.5, 0.6)], "subset string, item_id long, trend_strength double, seasonality_strength double, forecastability double")
-    assert [r.tsf_cell for r in quality.threshold_cells(q).orderBy("item_id").collect()] == ["highT_highS_highF", "lowT_lowS_lowF", "lowT_highS_highF"]
+    q = spark.createDataFrame([("min", 5, 0.41, 0.39, 0.9), ("min", 6, 0.4, 0.4, 0.4), ("min", 8, float("nan"), 0.7, 0.1)], "subset string, item_id long, trend_strength double, seasonality_strength double, forecastability double")
+    assert [r.tsf_cell for r in quality.threshold_cells(q).orderBy("item_id").collect()] == ["highT_lowS_highF", "lowT_lowS_lowF", "lowT_highS_lowF"]
     book = {r.official_cluster_code: r.official_tsf_cell for r in codebook.official_codebook(spark).collect()}
     assert book[0] == "highT_highS_highF" and book[26] == "lowT_lowS_lowF" and book[24] == "lowT_lowS_highF"
     n = codebook.agreement_count(F.lit("highT_lowS_highF"), F.lit("highT_highS_highF"))
@@ -157,7 +157,9 @@ def test_resume_ignores_null_keys(spark):
 
 
 def test_representative(spark):
-    start = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([("hour", 1, start + dt.timedelta(hours=i), float(i + 1), float(10 * i + 10)) for i in range(4)], "subset string, item_id long, date_time timestamp, ind_1 double, ind_2 double")
+    start = dt.datetime(2023, 5, 5)
+    rows = [("min", 4, start + dt.timedelta(days=i), a, b) for i, (a, b) in enumerate([(1.0, 6.0), (3.0, 0.0), (8.0, 3.0)])]
+    df = spark.createDataFrame(rows, "subset string, item_id long, date_time timestamp, ind_1 double, ind_2 double")
     got = [r.value for r in panel.representative(df, ["ind_1", "ind_2"]).orderBy("date_time").collect()]
-    assert got == pytest.approx([-1.34164077, -0.44721359, 0.44721359, 1.34164077], abs=1e-6)
+    # (x - 4) / sqrt(26 / 3) and (x - 3) / sqrt(6), averaged
+    assert got == pytest.approx([0.102848, -0.782214, 0.679366], abs=1e-6)
