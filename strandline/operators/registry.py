@@ -104,15 +104,15 @@ def _stop(test: Column, why: str, value: Column, kind: str) -> Column:
     return F.when(test, F.raise_error(F.concat(F.lit(f"{why} in item "), F.col("item_id").cast("string"))).cast(kind)).otherwise(value)
 
 
-def _items(panel: DataFrame, codebook: DataFrame, config: RegistryConfig) -> DataFrame:
-    """One row for each item: its rows in time order, its splits, its cluster and cell. The only shuffle, by item.
+def _items(panel: DataFrame, codebook: DataFrame, config: RegistryConfig, values: bool) -> DataFrame:
+    """One row for each item: its times in order, with ``values`` its rows in order too, its splits, its cluster and cell. The only
+    shuffle, by item.
 
     An item with several or unknown clusters raises.
     """
-    one = panel.groupBy(*ITEM).agg(
-        F.sort_array(F.collect_list(F.struct("date_time", *config.channels))).alias("rows"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")
-    )
-    one = one.withColumn("times", F.transform("rows", lambda r: r["date_time"])).withColumn("item_length", F.size("times"))
+    ordered = F.sort_array(F.collect_list(F.struct("date_time", *config.channels) if values else F.col("date_time"))).alias("rows")
+    one = panel.groupBy(*ITEM).agg(ordered, F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
+    one = one.withColumn("times", F.transform("rows", lambda r: r["date_time"]) if values else F.col("rows")).withColumn("item_length", F.size("times"))
     one = one.withColumn("pre", F.size(F.filter("times", lambda t: t < F.lit(config.cutoff).cast("timestamp"))))
     one = one.withColumn("cut", valid_start(F.col("pre")))
     bounds = (("train", F.lit(0), F.col("cut")), ("valid", F.col("cut"), F.col("pre")), ("test", F.col("pre"), F.col("item_length")))
@@ -132,16 +132,14 @@ def build_registry(panel: DataFrame, codebook: DataFrame, config: RegistryConfig
     require_columns(panel, [*ITEM, "date_time", "cluster", *config.channels], "panel")
     periods = periods or Periods()
     h, p = config.history_len, config.pred_len
-    items = _items(panel.filter(F.col("subset").isin(*config.subsets)), codebook, config)
+    items = _items(panel.filter(F.col("subset").isin(*config.subsets)), codebook, config, bool(values))
 
     def channel(c: str) -> Column:
-        return F.struct(F.lit(c).alias("channel"), F.transform("rows", lambda r: r[c].cast("double")).alias("values"))
+        arrays = [F.transform("rows", lambda r: r[c].cast("double")).alias("values")] if values else []
+        return F.struct(F.lit(c).alias("channel"), *arrays)
 
     series = F.array(*map(channel, config.channels))
-    rows = items.withColumn("c", F.explode(series)).select(*ITEM, "times", "item_length", "splits", "official_cluster", "official_tsf_cell", F.col("c.channel").alias("channel"), F.col("c.values").alias("values"))
-
-    def time(i: Column) -> Column:
-        return F.date_format(F.get("times", i), "yyyy-MM-dd'T'HH:mm:ss")
+    rows = items.withColumn("c", F.explode(series)).select(*ITEM, "times", "item_length", "splits", "official_cluster", "official_tsf_cell", "c.*")
 
     def window(s: Column, t: Column) -> Column:
         arrays = {"history": F.slice("values", t - h + 1, F.lit(h)), "target": F.slice("values", t + 1, F.lit(p))}
@@ -150,7 +148,7 @@ def build_registry(panel: DataFrame, codebook: DataFrame, config: RegistryConfig
             s["split_start_idx"].alias("split_start_idx"),
             s["split_end_idx"].alias("split_end_idx"),
             _stop(t < h, "a window starts before the first row", t, "int").alias("target_start_idx"),
-            *[time(i).alias(f"{k}_time") for k, i in (("history_start", t - h), ("history_end", t - 1), ("target_start", t), ("target_end", t + p - 1))],
+            *[F.get("times", i).alias(f"{k}_time") for k, i in (("history_start", t - h), ("history_end", t - 1), ("target_start", t), ("target_end", t + p - 1))],
             *[arrays[v].alias(v) for v in values],
         )
 
@@ -161,6 +159,8 @@ def build_registry(panel: DataFrame, codebook: DataFrame, config: RegistryConfig
     # what a window needs is cut out before windows become rows, so that these do not carry their whole series
     rows = rows.withColumn("w", F.explode(F.flatten(F.transform("splits", of_split))))
     rows = rows.select(*ITEM, "channel", "item_length", "official_cluster", "official_tsf_cell", "w.*")
+    # written out here, where they are left out if nothing reads them
+    rows = rows.withColumns({f"{k}_time": F.date_format(f"{k}_time", "yyyy-MM-dd'T'HH:mm:ss") for k in ("history_start", "history_end", "target_start", "target_end")})
     start = F.col("target_start_idx")
     pid = window_id(config)
     return rows.select(

@@ -155,9 +155,9 @@ def gappy_proxy(spark, d):
       SELECT *, list_sum([(x - m) ^ 2 for x in history]) AS sst, list_sum(tl) / 6 AS tm FROM (SELECT physical_window_id, period, history, list_sum(history) / {H} AS m, history[{H - 5}:{H}] AS tl FROM w)))) GROUP BY ALL""",
     "w",
 )
-def proxy_batches(spark, d):
-    """The three features that light_proxy does not state, by the batched kernel."""
-    return proxy.proxy_batches(D.windows(spark, d, target=False)).select(WINDOW, r6("iqr"), r6("recent_std_ratio"), r6("acf_period"))
+def proxy_spread(spark, d):
+    """The three features that light_proxy does not state, by built-in functions."""
+    return proxy.proxy_table(D.windows(spark, d, target=False)).select(WINDOW, r6("iqr"), r6("recent_std_ratio"), r6("acf_period"))
 
 
 # ---- views ----
@@ -179,7 +179,7 @@ VIEW_SQL = f"z AS ({_normalized_sql()})"
 )
 def line_views(spark, d):
     """Of the line view of every window, where its ink lies in each of the 192 columns: the mean row, weighted by the values."""
-    return images.ink(D.windows(spark, d, target=False)).select(WINDOW, F.transform("line", lambda x: F.round(x, 3)).alias("line"))
+    return images.ink(D.windows(spark, d, target=False).select(WINDOW, "period", "history")).select(WINDOW, F.transform("line", lambda x: F.round(x, 3)).alias("line"))
 
 
 @query(
@@ -190,7 +190,7 @@ def line_views(spark, d):
 )
 def folded_views(spark, d):
     """Histories normalized, clipped, folded into cycles and scaled to [0, 1], before the picture is stretched."""
-    w = D.windows(spark, d, target=False)
+    w = D.windows(spark, d, target=False).select(WINDOW, "period", "history")
     return images.folded(w).select(WINDOW, F.transform("fold", lambda x: F.round(x, 4)).alias("fold"))
 
 
@@ -203,7 +203,7 @@ def folded_views(spark, d):
 )
 def power_views(spark, d):
     """The power view's spectrum before it is stretched: log of the power over its greatest."""
-    return images.powers(D.windows(spark, d, target=False)).select(WINDOW, F.transform("power", lambda x: F.round(x, 4)).alias("power"))
+    return images.powers(D.windows(spark, d, target=False).select(WINDOW, "period", "history")).select(WINDOW, F.transform("power", lambda x: F.round(x, 4)).alias("power"))
 
 
 # ---- caches, pathology, gates ----

@@ -228,8 +228,7 @@ def expert_predictions(spark, d):
 
 @query("SELECT physical_window_id, expert_id, round(mse, 6) AS mse, round(mae, 6) AS mae FROM er", "er")
 def expert_errors(spark, d):
-    w = D.windows(spark, d)
-    return experts.errors(experts.predictions(w), w).select(WINDOW, "expert_id", r6("mse"), r6("mae"))
+    return _errors(spark, d).select(WINDOW, "expert_id", r6("mse"), r6("mae"))
 
 
 @query("SELECT physical_window_id, expert_id, CAST(rank_in_window AS INT) AS rank_in_window, rank_in_window = 1 AS is_oracle_top1, round(e / greatest(sum(e) OVER (PARTITION BY physical_window_id), 1e-8), 6) AS soft_oracle_weight FROM rk", "rk")
@@ -569,7 +568,8 @@ def train_cap(spark, d):
     "w",
 )
 def light_proxy(spark, d):
-    out = proxy.proxy_table(D.windows(spark, d, target=False))
+    # Python gets what it works on, not the whole registry
+    out = proxy.proxy_batches(D.windows(spark, d, target=False).select(WINDOW, "period", "history"))
     return out.select(WINDOW, *[r6(c) for c in ("mean", "std", "min", "max", "amplitude", "last_value", "missing_ratio", "slope", "median", "acf_lag1")])
 
 
@@ -593,13 +593,13 @@ def image_index(spark, d):
 
 @query()
 def view_images(spark, d):
-    return images.imageize(D.windows(spark, d, target=False)).select(WINDOW, F.size("view").alias("values"), F.round(F.array_min("view"), 4).alias("low"), F.round(F.array_max("view"), 4).alias("high"))
+    return images.imageize(D.windows(spark, d, target=False).select(WINDOW, "period", "history")).select(WINDOW, F.size("view").alias("values"), F.round(F.array_min("view"), 4).alias("low"), F.round(F.array_max("view"), 4).alias("high"))
 
 
 @query()
 def view_embeddings(spark, d):
     """Embeddings to 6 digits: single-precision sums depend on the rows beside them beyond that."""
-    return images.embed(D.windows(spark, d, target=False)).select(WINDOW, F.transform("z", lambda x: F.round(x, 6)).alias("z"))
+    return images.embed(D.windows(spark, d, target=False).select(WINDOW, "period", "history")).select(WINDOW, F.transform("z", lambda x: F.round(x, 6)).alias("z"))
 
 
 def _hashed(seed: int) -> str:
