@@ -13,6 +13,12 @@ from strandline.operators.checks import ensure_unique_key
 
 HEIGHT, WIDTH, CLIP = 64, 192, 5.0
 
+#: Rows of up to so many values are stretched by a matrix product.
+NARROW = 64
+
+#: Windows whose views are made at once.
+AT_ONCE = 64
+
 
 def normalize(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Centred rows over max(std / 0.4, 1e-5), not finite to 0, clipped; with the means and deviations."""
@@ -34,7 +40,13 @@ def _weights(n: int, to: int, corners: bool) -> tuple[np.ndarray, np.ndarray, np
 
 def resize(x: np.ndarray, to: int, axis: int, corners: bool = False) -> np.ndarray:
     """Linear interpolation along an axis, with ends aligned or pixel centres aligned."""
-    lo, hi, w = _weights(x.shape[axis], to, corners)
+    n = x.shape[axis]
+    lo, hi, w = _weights(n, to, corners)
+    if axis == x.ndim - 1 and n <= NARROW:
+        by = np.zeros((n, to))
+        np.add.at(by, (lo, np.arange(to)), 1 - w)
+        np.add.at(by, (hi, np.arange(to)), w)
+        return (x.reshape(-1, n) @ by).reshape(*x.shape[:-1], to)
     shape = [1] * x.ndim
     shape[axis] = to
     w = w.reshape(shape)
@@ -42,9 +54,15 @@ def resize(x: np.ndarray, to: int, axis: int, corners: bool = False) -> np.ndarr
 
 
 def line_view(z: np.ndarray) -> np.ndarray:
-    y = unit(z if z.shape[1] == WIDTH else resize(z, WIDTH, 1, corners=True))
-    rows = np.arange(HEIGHT)[None, :, None]
-    return np.maximum(0.0, 1 - np.abs(rows - y[:, None, :] * (HEIGHT - 1)))
+    """In each column 1 less the distance from the value's height, which only the rows on either side of it do not make 0."""
+    y = unit(z if z.shape[1] == WIDTH else resize(z, WIDTH, 1, corners=True)) * (HEIGHT - 1)
+    low = y.astype(np.int64)
+    high = np.minimum(low + 1, HEIGHT - 1)
+    out = np.zeros((len(y), HEIGHT, WIDTH))
+    row, column = np.arange(len(y))[:, None], np.arange(WIDTH)
+    out[row, high, column] = 1 - np.abs(high - y)
+    out[row, low, column] = 1 - np.abs(low - y)
+    return out
 
 
 def cycles_of(z: np.ndarray, period: int) -> tuple[np.ndarray, int]:
@@ -70,42 +88,58 @@ def log_power(z: np.ndarray) -> np.ndarray:
 
 
 def power_view(z: np.ndarray) -> np.ndarray:
-    p = log_power(z)
-    return np.clip(resize(resize(p[:, None, :], HEIGHT, 1), WIDTH, 2), 0, 1)
+    p = np.clip(resize(log_power(z), WIDTH, 1), 0, 1)
+    return np.broadcast_to(p[:, None, :], (len(p), HEIGHT, WIDTH))
 
 
 def views(x: np.ndarray, period: int) -> tuple[np.ndarray, dict]:
     z, m, s = normalize(x)
-    fold, pad, cycles = fold_view(z, period)
-    return np.stack([line_view(z), fold, power_view(z)], 1).astype(np.float32), {"norm_mean": m, "norm_std": s, "padding_length": pad, "num_cycles": cycles}
+    out = np.empty((len(z), 3, HEIGHT, WIDTH), np.float32)
+    out[:, 0] = line_view(z)
+    out[:, 1], pad, cycles = fold_view(z, period)
+    out[:, 2] = power_view(z)
+    return out, {"norm_mean": m, "norm_std": s, "padding_length": pad, "num_cycles": cycles}
 
 
 def projection(dims: int, seed: int = 0) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((3 * (HEIGHT // 8) * (WIDTH // 8), dims)).astype(np.float32) / 24
 
 
-def _map(windows: DataFrame, kinds: str, made) -> DataFrame:
+def _map(windows: DataFrame, kinds: str, made, rows: int = 128) -> DataFrame:
+    """Windows with the fields ``kinds``, made of ``rows`` windows at most at once: made(histories of one length, period)
+    gives an array for each field, with a value or a row of values for each history."""
     keep = [c for c in windows.columns if c not in ("history", "target")]
     fields = T._parse_datatype_string(kinds).fields
     schema = T.StructType([windows.schema[c] for c in keep] + fields)
 
+    def column(a: np.ndarray, kind: pa.DataType) -> pa.Array:
+        if a.ndim == 1:
+            return pa.array(a, kind)
+        ends = np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(a.ravel(), kind.value_type), type=kind)
+
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        kinds = [arrow.field(len(keep) + k).type for k in range(len(fields))]
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                h, p = part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist()
-                out: list = [None] * len(h)
-                for key in set(zip(map(len, h), p, strict=True)):
-                    rows = [i for i in range(len(h)) if (len(h[i]), p[i]) == key]
-                    x = np.array([[np.nan if v is None else v for v in h[i]] for i in rows], float)
-                    for i, r in zip(rows, made(x, key[1]), strict=True):
-                        out[i] = r
-                cols = [part.column(i) for i in range(len(keep))]
-                cols += [pa.array([r[k] for r in out], arrow.field(len(keep) + k).type) for k in range(len(fields))]
-                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                history, period = part.column(len(keep)), part.column(len(keep) + 1).to_numpy(zero_copy_only=False)
+                if history.null_count:
+                    raise ValueError("a window without a history")
+                values, ends = history.values.to_numpy(zero_copy_only=False).astype(float), history.offsets.to_numpy()
+                groups, of = np.unique(np.stack([np.diff(ends), period], 1), axis=0, return_inverse=True)
+                of = of.ravel()
+                cols: list = [[] for _ in fields]
+                for g, (n, p) in enumerate(groups.tolist()):
+                    x = values[ends[:-1][of == g][:, None] + np.arange(int(n))]
+                    for col, a, kind in zip(cols, made(x, p), kinds, strict=True):
+                        col.append(column(a, kind))
+                place = pa.array(np.argsort(np.argsort(of, kind="stable")))
+                one = [col[0] if len(col) == 1 else pa.concat_arrays(col).take(place) for col in cols]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + one, schema=arrow)
 
     return windows.select(*keep, "history", F.col("period").alias("__p")).mapInArrow(run, schema)
 
@@ -115,30 +149,41 @@ def imageize(windows: DataFrame) -> DataFrame:
 
     def made(x, period):
         v, meta = views(x, period)
-        return [(v[i].ravel(), float(meta["norm_mean"][i]), float(meta["norm_std"][i]), meta["padding_length"], meta["num_cycles"]) for i in range(len(v))]
+        counts = (np.full(len(v), meta[k], np.int32) for k in ("padding_length", "num_cycles"))
+        return v.reshape(len(v), -1), meta["norm_mean"], meta["norm_std"], *counts
 
     return _map(windows, "view array<float>, norm_mean double, norm_std double, padding_length int, num_cycles int", made)
 
 
+def extents(windows: DataFrame) -> DataFrame:
+    """Windows with ``values``, ``low`` and ``high``: the size, least and greatest value of ``view``, taken where it is made."""
+
+    def made(x, period):
+        v = views(x, period)[0].reshape(len(x), -1)
+        return np.full(len(v), v.shape[1], np.int32), v.min(1), v.max(1)
+
+    return _map(windows, "values int, low float, high float", made, AT_ONCE)
+
+
 def ink(windows: DataFrame) -> DataFrame:
     """Windows with ``line``: of the line view, the mean row of each column, weighted by the values there."""
     rows = np.arange(HEIGHT)[None, :, None]
 
     def made(x, period):
         v = line_view(normalize(x)[0])
-        return [(r,) for r in (v * rows).sum(1) / v.sum(1)]
+        return ((v * rows).sum(1) / v.sum(1),)
 
     return _map(windows, "line array<double>", made)
 
 
 def folded(windows: DataFrame) -> DataFrame:
     """Windows with ``fold``: the cycles of the period view, row by row, before they are stretched."""
-    return _map(windows, "fold array<double>", lambda x, period: [(r.ravel(),) for r in cycles_of(normalize(x)[0], period)[0]])
+    return _map(windows, "fold array<double>", lambda x, period: (cycles_of(normalize(x)[0], period)[0].reshape(len(x), -1),))
 
 
 def powers(windows: DataFrame) -> DataFrame:
     """Windows with ``power``: the spectrum of the power view before it is stretched."""
-    return _map(windows, "power array<double>", lambda x, period: [(r,) for r in log_power(normalize(x)[0])])
+    return _map(windows, "power array<double>", lambda x, period: (log_power(normalize(x)[0]),))
 
 
 def image_index(windows: DataFrame) -> DataFrame:
@@ -205,9 +250,9 @@ def embed(windows: DataFrame, dims: int = 32, seed: int = 0, encoder: str = "cnn
     def made(x, period):
         v, _ = views(x, period)
         if encoder == "cnn":
-            return [(r,) for k in range(0, len(v), 32) for r in encode(v[k : k + 32], w)]
+            return (np.concatenate([encode(v[k : k + 32], w) for k in range(0, len(v), 32)]),)
         small = v.reshape(len(v), 3, HEIGHT // 8, 8, WIDTH // 8, 8).mean((3, 5)).reshape(len(v), -1)
-        return [(r,) for r in np.tanh(small @ w)]
+        return (np.tanh(small @ w),)
 
     return _map(windows, "z array<float>", made)
 
