@@ -42,3 +42,27 @@ def test_views_of_mixed_windows_keep_their_place(spark):
 def test_no_pixels_leave_the_workers(spark):
     plan = catalog.view_images(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "view#" not in plan
+
+
+def test_equal_histories_are_encoded_once(spark, monkeypatch):
+    kept, encoded, encode = {}, [], images.encode
+    monkeypatch.setattr(images, "_map", lambda windows, kinds, made, *_: kept.update(made=made, windows=windows) or windows)
+    monkeypatch.setattr(images, "encode", lambda v, w: encoded.append(len(v)) or encode(v, w))
+    images.embed(mixed(spark), 4)
+    x = np.random.default_rng(3).uniform(0, 9, (70, 24))[np.arange(500) % 70]
+    x[7, 3] = x[400, 3] = np.nan
+    (z,) = kept["made"](x, 13)
+    assert sum(encoded) == 72
+    assert z.shape == (500, 4) and z == pytest.approx(encode(images.views(x, 13)[0], images.encoder_weights(4)), abs=2e-6)
+    assert (z[140:210] == z[:70])[[i for i in range(70) if i not in (7, 50)]].all()
+    assert "RebalancePartitions" in kept["windows"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_embeddings_of_mixed_windows_keep_their_place(spark):
+    weights = images.encoder_weights(4)
+    made = {r.physical_window_id: r.z for r in images.embed(mixed(spark).repartition(3), 4).collect()}
+    rows = mixed(spark).collect()
+    assert len(made) == len(rows)
+    for r in rows[::9] + rows[-3:]:
+        x = np.array([[np.nan if v is None else v for v in r.history]])
+        assert made[r.physical_window_id] == pytest.approx(images.encode(images.views(x, r.period)[0], weights)[0], abs=2e-6)
