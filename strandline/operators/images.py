@@ -165,10 +165,14 @@ def extents(windows: DataFrame) -> DataFrame:
     """Windows with ``values``, ``low`` and ``high``: the size, least and greatest value of ``view``, taken where it is made."""
 
     def made(x, period):
-        v = views(x, period)[0].reshape(len(x), -1)
-        return np.full(len(v), v.shape[1], np.int32), v.min(1), v.max(1)
+        x, of = distinct(x)
+        seen = []
+        for k in range(0, len(x), AT_ONCE):
+            v = views(x[k : k + AT_ONCE], period)[0].reshape(-1, 3 * HEIGHT * WIDTH)
+            seen.append((np.full(len(v), v.shape[1], np.int32), v.min(1), v.max(1)))
+        return tuple(np.concatenate(a)[of] for a in zip(*seen, strict=True))
 
-    return _map(windows, "values int, low float, high float", made, AT_ONCE)
+    return _map(gathered(windows), "values int, low float, high float", made, BATCH)
 
 
 def ink(windows: DataFrame) -> DataFrame:
