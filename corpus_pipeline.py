@@ -23,8 +23,8 @@ def good_documents(spark, docs, sf_dir):
 def first_of_near_duplicates(spark, docs, sf_dir):
     """The document with the smallest id of each group of near-duplicates.
 
-    SimHash links of op8 (4 of 64 bits) find 5 of the 293 pairs of sf0.1 whose 5-word shingle sets are similar by 0.8 or
-    more, so candidates come from bands of minima and the sets decide.
+    SimHash links as in op8 (4 of 64 bits, here of 5-word shingles) give candidates. They find 5 of the 293 pairs of sf0.1
+    whose 5-word shingle sets are similar by 0.8 or more, so bands of minima give those farther apart. The sets decide.
     """
     return simhash.keep_first(docs, SHINGLE, SIMILARITY)
 

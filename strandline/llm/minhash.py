@@ -1,7 +1,8 @@
 """Near-duplicates by the Jaccard similarity of their shingle sets.
 
-MinHash bands find candidates, and the sets themselves decide. Two sets of similarity s meet in a band with
-probability 1 - (1 - s^ROWS)^BANDS: 0.99995 at 0.8. Texts with one set stand for each other from the start.
+SimHash links find candidates, MinHash bands find those whose fingerprints are farther apart, and the sets themselves
+decide. Two sets of similarity s meet in a band with probability 1 - (1 - s^ROWS)^BANDS: 0.99995 at 0.8. Fingerprints
+that links connect are one band more. Texts with one set stand for each other from the start.
 
 Candidates that meet in bands form groups, which one task compares as long as they are small. In a larger group
 each member is first compared with one member of each band that it meets others in. Where that does not connect
@@ -19,20 +20,20 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import cut, map_texts, release, written
 from strandline.llm.graph import connected_components
-from strandline.llm.simhash import _LOWER
+from strandline.llm.simhash import _LOWER, fingerprint_links, majority, votes
 
 #: Bands of a signature and minima of a band.
 BANDS, ROWS = 25, 5
 
-#: Shingles hashed for all minima at once.
-SHINGLES_AT_ONCE = 2048
+#: Shingles hashed for all minima at once, and those whose bits are counted at once.
+SHINGLES_AT_ONCE, VOTES_AT_ONCE = 2048, 1 << 15
 
 #: Shingles of a group, or of either side of a block, that one task holds; a longer set alone.
 SHINGLES_HELD = 2_000_000
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted XXH64 (seed 42) of the distinct shingles; one shingle for at most ``size`` words, none for no words."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles, repeats included; one shingle for at most ``size`` words, none for no words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(_LOWER).split()
@@ -44,7 +45,17 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-size]]).tolist()
     ends = (ends[size - 1 :] - 1).tolist()
-    return np.unique(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64))
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of a text from the hashes of its shingles, as ``simhash.fingerprint`` makes it."""
+    return majority(sum((votes(hashes[k : k + VOTES_AT_ONCE]) for k in range(0, len(hashes), VOTES_AT_ONCE)), np.zeros(64, np.int64)), len(hashes))
 
 
 @lru_cache(1)
@@ -80,9 +91,13 @@ def _marks(size: int):
         from xxhash import xxh64_intdigest
 
         def of(texts):
-            sets = [shingle_set(t, size) for t in texts]
+            sets, fps = [], []
+            for t in texts:
+                hashes = shingle_hashes(t, size)
+                sets.append(np.unique(hashes))
+                fps.append(fingerprint_of(hashes))
             ids = np.array([xxh64_intdigest(s.tobytes(), 42) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            return [pa.array(ids), [len(s) for s in sets], [bands(s) for s in sets]]
+            return [pa.array(ids), [len(s) for s in sets], [bands(s) for s in sets], pa.array(np.array(fps, np.uint64).view(np.int64))]
 
         return of
 
@@ -225,15 +240,22 @@ def _links_of_large(members: DataFrame, sets: DataFrame, least: float) -> DataFr
     return near.unionByName(cut(more))
 
 
+def _alike(marked: DataFrame) -> DataFrame:
+    """(sid, n, key): one key for all sets with words whose SimHash fingerprints links connect."""
+    prints = marked.filter("n > 0").select("sid", "n", "fp").distinct()
+    rooted = connected_components(fingerprint_links(prints.select("fp").distinct())).withColumnRenamed("node", "fp")
+    return prints.join(rooted, "fp", "left").select("sid", "n", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
+
+
 def firsts(rows: DataFrame, size: int, similarity: float) -> DataFrame:
     """(first): the least ``at`` of each group of rows (at, text) that pairs of at least the similarity connect.
 
     Texts with one set of shingles meet in one row before anything is joined. Texts without words form one group.
     Sets are made again, from the texts that met others, rather than kept for all.
     """
-    marked, path = written(map_texts(rows, "sid bigint, n int, bands array<bigint>", _marks(size), carry=("at",)))
+    marked, path = written(map_texts(rows, "sid bigint, n int, bands array<bigint>, fp bigint", _marks(size), carry=("at",)))
     nodes = cut(marked.groupBy("sid").agg(F.min("at").alias("at")))
-    keyed = marked.select("sid", "n", F.explode("bands").alias("key")).distinct()
+    keyed = marked.select("sid", "n", F.explode("bands").alias("key")).unionByName(_alike(marked)).distinct()
     met = keyed.groupBy("key").agg(F.min("sid").alias("a"), F.count("*").alias("t")).filter("t > 1").drop("t")
     keyed = cut(keyed.join(met, "key"))
     groups = connected_components(keyed.filter("sid != a").select("a", F.col("sid").alias("b")).distinct())

@@ -37,6 +37,16 @@ FINGERPRINTS_AT_ONCE = 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that over half of n hashes have."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """64 bits, each set if over half the XXH64 (seed 42) of the shingles have it; 0 for no words."""
     from xxhash import xxh64_intdigest
@@ -54,8 +64,8 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):
         part = [xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)], strict=True)]
-        counts += np.unpackbits(np.array(part, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        counts += votes(np.array(part, np.uint64))
+    return majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -236,8 +246,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row of each component with all columns of docs: the smallest doc_id, of equals the least by a hash of the row.
 
-    With ``similarity``, pairs link whose sets of shingles of ``size`` words have at least that Jaccard similarity;
-    without it, pairs whose fingerprints are within the limit of bits.
+    Pairs link whose fingerprints are within the limit of bits. With ``similarity``, these are candidates, as are those
+    that bands of minima find farther apart, and pairs link whose sets of shingles of ``size`` words have at least that
+    Jaccard similarity.
     """
     name = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.withColumnsRenamed(name)
